@@ -1 +1,9 @@
 """postmill: record-feed ETL and monitoring as PySpark DataFrame transforms."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions for Python workers travel by value, so the package need not be
+# installed on the executors.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.dims import state_map
-from postmill.functions.text import fold_ascii, strip, text_or_empty
+from postmill.functions.text import fold_ascii, let, strip, text_or_empty
 from postmill.functions.urls import normalize_url
 
 # --- Fixed values. ----------------------------------------------------------
@@ -66,18 +66,18 @@ def normalize_location(location: Column) -> Column:
     squeezed = F.transform(
         F.split(cleaned, ","), lambda p: F.btrim(F.regexp_replace(p, "[\\s\\x1c-\\x1f]+", " "))
     )
+
+    def join_parts(parts: Column) -> Column:
+        last = F.try_element_at(parts, F.lit(-1))
+        named = F.concat(
+            F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))),
+            F.array(F.coalesce(F.try_element_at(state_map(), last), last)),
+        )
+        key = F.replace(F.array_join(named, "-"), F.lit(" "), F.lit("-"))
+        return F.when(F.size(parts) == 0, "").otherwise(key)
+
     parts = F.filter(squeezed, lambda p: p != "")
-    last = F.try_element_at(parts, F.lit(-1))
-    named = F.concat(
-        F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))),
-        F.array(F.coalesce(F.try_element_at(state_map(), last), last)),
-    )
-    joined = F.replace(F.array_join(named, "-"), F.lit(" "), F.lit("-"))
-    return (
-        F.when(text.contains("remote"), "remote")
-        .when(F.size(parts) == 0, "")
-        .otherwise(joined)
-    )
+    return F.when(text.contains("remote"), "remote").otherwise(let(parts, join_parts))
 
 
 def fingerprint(company: Column, title: Column, location: Column | None = None) -> Column:
@@ -99,21 +99,20 @@ def source_priority(source: Column) -> Column:
 def format_area_location(area: Column, display: Column) -> Column:
     """"City, ST" from an area hierarchy, skipping county-like levels."""
     levels = F.coalesce(area, F.array().cast("array<string>"))
-    state_name = F.get(levels, F.lit(1))
-    state_key = F.lower(strip(state_name))
-    state = F.upper(F.coalesce(F.try_element_at(state_map(), state_key), state_name))
-    below = F.transform(
-        F.reverse(F.slice(levels, F.lit(3), F.greatest(F.size(levels) - 2, F.lit(0)))), strip
-    )
     county = "(" + "|".join(COUNTY_SUFFIXES) + ")$"
-    city = F.get(
-        F.filter(below, lambda n: (F.lower(n) != state_key) & ~F.lower(n).rlike(county)), F.lit(0)
-    )
-    return (
-        F.when(F.size(levels) < 2, text_or_empty(display))
-        .when(city.isNotNull(), F.concat(city, F.lit(", "), state))
-        .otherwise(state)
-    )
+
+    def place(names: Column) -> Column:
+        state_name = F.get(names, F.lit(1))
+        state_key = F.lower(strip(state_name))
+        state = F.upper(F.coalesce(F.try_element_at(state_map(), state_key), state_name))
+        below = F.reverse(F.slice(names, F.lit(3), F.greatest(F.size(names) - 2, F.lit(0))))
+        cities = F.filter(
+            F.transform(below, strip),
+            lambda n: (F.lower(n) != state_key) & ~F.lower(n).rlike(county),
+        )
+        return F.concat_ws(", ", F.get(cities, F.lit(0)), state)
+
+    return F.when(F.size(levels) < 2, text_or_empty(display)).otherwise(let(levels, place))
 
 
 def with_keys(df: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Text helpers: folding, stripping, tag removal, links, casing."""
 
 import html
+import json
 import unicodedata
 from functools import lru_cache
 
@@ -50,7 +51,19 @@ def fold_tables() -> tuple[dict[str, str], dict[str, str]]:
 
 
 def char_class(chars) -> str:
-    return "[" + "".join("\\x{%X}" % ord(c) for c in chars) + "]"
+    """Character class of the given characters, written as code point ranges."""
+    ranges: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if ranges and code == ranges[-1][1] + 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(rf"\x{{{low:X}}}-\x{{{high:X}}}" for low, high in ranges) + "]"
+
+
+def let(value: Column, body) -> Column:
+    """`body(value)` with `value` computed once, however often `body` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def fold_ascii(col: Column) -> Column:
@@ -60,15 +73,22 @@ def fold_ascii(col: Column) -> Column:
     characters and a map the few one-to-many ones. ASCII rows skip both.
     """
     single, several = fold_tables()
+    mapping = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
+
+    def spell_out(one: Column) -> Column:
+        # Split between code points, never inside a surrogate pair.
+        chars = F.regexp_extract_all(one, F.lit("(?s)."), F.lit(0))
+        spelled = F.transform(chars, lambda c: F.coalesce(F.try_element_at(mapping, c), c))
+        return F.when(~one.rlike(NON_ASCII), one).otherwise(
+            F.regexp_replace(
+                F.when(one.rlike(char_class(several)), F.array_join(spelled, "")).otherwise(one),
+                NON_ASCII + "+",
+                "",
+            )
+        )
+
     one = F.translate(col, "".join(single), "".join(single.values()))
-    mapping = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
-    # Split between code points, never inside a surrogate pair.
-    chars = F.regexp_extract_all(one, F.lit("(?s)."), F.lit(0))
-    many = F.when(
-        one.rlike(char_class(several)),
-        F.array_join(F.transform(chars, lambda c: F.coalesce(F.try_element_at(mapping, c), c)), ""),
-    ).otherwise(one)
-    return F.when(col.rlike(NON_ASCII), F.regexp_replace(many, NON_ASCII + "+", "")).otherwise(col)
+    return F.when(col.rlike(NON_ASCII), let(one, spell_out)).otherwise(col)
 
 
 @F.pandas_udf(StringType())

@@ -1,6 +1,7 @@
 """Session helpers."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,6 +12,7 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
 }
+CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra) -> SparkSession:
@@ -28,26 +30,44 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra)
     return spark
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in `spark.checkpoint.dir`.
 
     Only a local session may go without it and gets a temporary folder; on a
-    cluster a machine-local folder would be lost with its executor.
+    cluster a machine-local folder would be lost with its machine.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get(CHECKPOINT_DIR, None)
     if folder:
         return folder
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="postmill-")
-
-
-def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint: cuts lineage and survives executor loss."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=eager)
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors share")
+    if context.applicationId not in _local_folders:
+        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="postmill-")
+    return _local_folders[context.applicationId]
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """Path of a not yet existing table in the shared folder."""
+    return f"{shared_dir(spark)}/postmill/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write once as Parquet in the shared folder and read back.
+
+    Cuts lineage, survives lost executors, and unlike an RDD checkpoint runs
+    the plan once and keeps column pruning and filter pushdown for readers.
+    """
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out rows of an input with fewer splits than cores (one small
+    file); an input with enough splits is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
