@@ -6,6 +6,10 @@ from pyspark.sql import functions as F
 from postmill.session import spread
 
 
+# Parts of `postings.seq`, from the least significant one.
+QUANTITY_BITS, SUPPLIER_BITS, PART_BITS, LINE_BITS = 6, 14, 18, 3
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -13,7 +17,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """POSTING rows from lineitem, part, supplier and nation.
 
-    `seq` packs order, line, part and supplier numbers and is unique.
+    `seq` packs order, line, part and supplier numbers with the quantity and
+    is unique.
     """
     line = F.col("l_linenumber")
     rows = (
@@ -29,11 +34,10 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit(" & "), F.lower("p_type"))
     )
     return rows.select(
-        (
-            (F.col("l_orderkey") * 10 + line) * 100000000000
-            + F.col("l_partkey") * 100000
-            + F.col("l_suppkey")
-        ).cast("bigint").alias("seq"),
+        F.expr(
+            f"(((l_orderkey * {1 << LINE_BITS} + l_linenumber) * {1 << PART_BITS} + l_partkey)"
+            f" * {1 << SUPPLIER_BITS} + l_suppkey) * {1 << QUANTITY_BITS} + bigint(l_quantity)"
+        ).alias("seq"),
         F.concat(
             F.lit("HTTPS://WWW.Jobs.example.com/ad/"), F.col("l_partkey").cast("string"),
             F.lit("/?utm_source=feed&v="), line.cast("string"),
@@ -71,9 +75,9 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def order_of(seq="seq"):
+def order_of():
     """The order number packed in `postings.seq`."""
-    return F.expr(f"{seq} div 1000000000000")
+    return F.shiftright("seq", QUANTITY_BITS + SUPPLIER_BITS + PART_BITS + LINE_BITS)
 
 
 def is_history():
@@ -161,3 +165,132 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
             "major", "ok", "ts",
         )
     )
+
+
+def line_of():
+    """The line number packed in `postings.seq`."""
+    return F.shiftright("seq", QUANTITY_BITS + SUPPLIER_BITS + PART_BITS) % (1 << LINE_BITS)
+
+
+def supplier_of():
+    return F.shiftright("seq", QUANTITY_BITS) % (1 << SUPPLIER_BITS)
+
+
+def _packed(rows: DataFrame, slug, item, wrap) -> DataFrame:
+    """Landed JSON bodies: one per supplier and 500 orders, so a body stays
+    small however large the table is."""
+    chunk = F.floor(order_of() / 500)
+    return (
+        rows.groupBy(slug.alias("slug"), supplier_of().alias("s"), chunk.alias("c"))
+        .agg(F.collect_list(item).alias("items"))
+        .select("slug", (F.col("s") * 10000 + F.col("c")).alias("doc_ord"), F.to_json(wrap("items")).alias("body"))
+    )
+
+
+def greenhouse_raw(posts: DataFrame) -> DataFrame:
+    item = F.struct(
+        "title", F.col("url").alias("absolute_url"),
+        F.when(line_of() == 3, "").otherwise(F.col("company")).alias("company_name"),
+        F.concat(F.lit("<p>"), F.col("description"), F.lit(" &amp; more</p>")).alias("content"),
+        F.struct(F.col("location").alias("name")).alias("location"),
+    )
+    rows = posts.where(F.col("source").startswith("Greenhouse/"))
+    return _packed(rows, F.substring_index("source", "/", -1), item, lambda c: F.struct(F.col(c).alias("jobs")))
+
+
+def lever_raw(posts: DataFrame) -> DataFrame:
+    commitment = F.when(F.col("work_model") == "Hybrid", "Internship").when(
+        F.col("work_model") == "On Site", "co-op"
+    ).otherwise("Full-time")
+    item = F.struct(
+        F.regexp_replace("title", "Co-Op|Intern", "Analyst").alias("text"),
+        F.col("url").alias("hostedUrl"), F.col("description").alias("descriptionPlain"),
+        F.struct(
+            commitment.alias("commitment"), "location", F.col("work_model").alias("workplaceType")
+        ).alias("categories"),
+    )
+    rows = posts.where(F.col("source") == "org/repo")
+    slug = F.concat(F.lit("s"), supplier_of().cast("string"), F.lit("-labs"))
+    return _packed(rows, slug, item, F.col)
+
+
+def adzuna_raw(posts: DataFrame) -> DataFrame:
+    def levels(*names):
+        return F.array(*[F.lit(n) for n in names])
+
+    area = (
+        F.when(line_of() == 2, levels("US", "Texas", "Dallas County", "Dallas"))
+        .when(line_of() == 5, levels("US", "New York", "New York", "Brooklyn", "Kings County"))
+        .otherwise(levels("US"))
+    )
+    item = F.struct(
+        F.col("url").alias("redirect_url"), "title", "description",
+        F.struct(F.col("company").alias("display_name")).alias("company"),
+        F.struct(F.lit("United States").alias("display_name"), area.alias("area")).alias("location"),
+    )
+    rows = posts.where(F.col("source") == "Adzuna")
+    return _packed(rows, F.lit("term"), item, lambda c: F.struct(F.col(c).alias("results")))
+
+
+def readme_docs(spark: SparkSession, sf_dir: str, markdown: bool) -> DataFrame:
+    """Tables rendered from part: one document per brand and 500 part numbers,
+    sorted by name, with the mark for a repeated company."""
+    part = spread(read(spark, sf_dir, "part"))
+    chunk = F.expr("p_partkey div 500")
+    entry = F.struct("p_name", "p_partkey", "p_type", "p_size")
+    grouped = part.groupBy("p_brand", chunk.alias("chunk")).agg(F.sort_array(F.collect_list(entry)).alias("rows"))
+
+    def cell(row, i):
+        above = F.get(F.col("rows"), i - 1)["p_name"]
+        repeated = (i > 0) & (above == row["p_name"])
+        key = row["p_partkey"].cast("string")
+        size = row["p_size"].cast("string")
+        if markdown:
+            own = F.concat(F.lit("**["), row["p_name"], F.lit("](https://c.example.com)**"))
+            return F.concat(
+                F.lit("| "), F.when(repeated, "↳").otherwise(own), F.lit(" | ["), row["p_type"],
+                F.lit(" Intern](https://jobs.example.com/p/"), key, F.lit(") | Reno, NV | Hybrid | "), size, F.lit("d |"),
+            )
+        own = F.concat(F.lit("<b>"), row["p_name"], F.lit(" &amp; Sons</b>"))
+        return F.concat(
+            F.lit("<tr><td>"), F.when(repeated, "↳").otherwise(own), F.lit("</td><td>"), row["p_type"],
+            F.lit(" Intern</td>\n<td>Reno,&nbsp;NV</td><td><a href=\"https://jobs.example.com/p/"), key,
+            F.lit("\">Apply</a></td><td>"), size, F.lit("d</td></tr>"),
+        )
+
+    lines = F.array_join(F.transform("rows", cell), "\n")
+    if markdown:
+        head = F.lit("# List\n| Company | Title | Location | Model | Date |\n|---|---|---|---|---|\n")
+        text = F.concat(head, lines)
+    else:
+        text = F.concat(F.lit("<table><thead><tr><th>x</th></tr></thead><tbody>\n"), lines, F.lit("\n</tbody></table>"))
+    name = F.concat(F.col("p_brand"), F.lit("/"), F.col("chunk").cast("string"))
+    return grouped.select(name.alias("name"), F.xxhash64(name).bitwiseAND(F.lit(2**31 - 1)).alias("doc_ord"), text.alias("text"))
+
+
+def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of 15 parts as postings to be scored."""
+    return read(spark, sf_dir, "part").select(
+        F.expr("p_partkey div 15").alias("chunk_id"), F.expr("int(p_partkey % 15)").alias("index"),
+        F.col("p_name").alias("title"), F.col("p_type").alias("description"), "p_partkey", "p_size",
+    )
+
+
+def responses(asked: DataFrame) -> DataFrame:
+    """Scored answers with gaps, misplaced and repeated indices, bad labels."""
+    size = F.col("p_size")
+    gap = (size % 10 == 0) | ((F.col("chunk_id") % 7 == 0) & (F.col("index") % 3 != 0))
+
+    def entry(major, score):
+        return F.struct(major.alias("major"), score.cast("int").alias("score"))
+
+    first = F.array(
+        entry(F.lit("civil"), F.lit(3)), entry(F.lit("unknown"), F.lit(4)),
+        entry(F.when(F.col("description") == "PROMO", "MIS").otherwise("mechanical"), size % 7),
+    )
+    second = F.array(entry(F.lit("chemical"), F.lit(5)))
+    answers = F.when(size % 10 == 2, F.array(first, second)).otherwise(F.array(first))
+    return asked.where(~gap).select(
+        "chunk_id", F.when(size % 10 == 1, F.col("index") + 100).otherwise(F.col("index")).alias("index"),
+        F.posexplode(answers).alias("n", "majors"), F.col("p_partkey"),
+    ).select("chunk_id", "index", (F.col("p_partkey") * 2 + F.col("n")).alias("position"), "majors")

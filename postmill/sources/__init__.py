@@ -1 +1,19 @@
-"""sources"""
+"""Readers of landed payloads. Each takes raw rows with a document number
+`doc_ord` and gives POSTING rows.
+
+`seq` orders postings by source kind, then document, then position. It packs
+the three into one long: 3 bits, 32 bits, 28 bits.
+"""
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+RANKS = {"adzuna": 0, "readme": 1, "boards": 2}
+
+
+def seq(rank: int, doc_ord: Column, position: Column) -> Column:
+    return (
+        F.shiftleft(F.lit(rank).cast("bigint"), 60)
+        + F.shiftleft(doc_ord.cast("bigint"), 28)
+        + position.cast("bigint")
+    ).alias("seq")
