@@ -19,15 +19,13 @@ TITLE_STOP_WORDS = [
     "student", "students", "paid", "opportunity", "program", "position",
     "role", "hiring", "now", "full", "time", "parttime",
 ]
+TITLE_BRACKETS = "()[]"
 TITLE_RULES = [
-    (r"[()]", " "),
-    (r"[\[\]]", " "),
     (r"(?<!\w)(?:req|job|jr|r)?[-#_]?\d{4,}(?!\w)", " "),
     (r"(19|20)\d{2}", " "),
     (r"\b(summer|fall|autumn|winter|spring)\b", " "),
     (r"\b(internship|intern)\b", "intern"),
     (r"\b(co-op|coop|co op)\b", "intern"),
-    (r"&", "and"),
 ]
 COUNTY_SUFFIXES = ["county", "parish", "borough", "census area", "municipality"]
 # --- End of fixed values. ---------------------------------------------------
@@ -49,9 +47,10 @@ def normalize_company(company: Column) -> Column:
 
 def title_tokens(title: Column) -> Column:
     """Sorted distinct tokens of a title."""
-    text = folded_lower(title)
+    text = F.translate(folded_lower(title), TITLE_BRACKETS, " " * len(TITLE_BRACKETS))
     for pattern, replacement in TITLE_RULES:
         text = F.regexp_replace(text, pattern, replacement)
+    text = F.replace(text, F.lit("&"), F.lit("and"))
     noise = F.array(*[F.lit(w) for w in ["", *TITLE_STOP_WORDS]])
     return F.array_sort(F.array_except(F.split(text, NOT_ALNUM), noise))
 

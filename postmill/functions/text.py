@@ -88,7 +88,8 @@ def fold_ascii(col: Column) -> Column:
         )
 
     one = F.translate(col, "".join(single), "".join(single.values()))
-    return F.when(col.rlike(NON_ASCII), let(one, spell_out)).otherwise(col)
+    ascii_only = F.octet_length(col) == F.char_length(col)
+    return F.when(ascii_only, col).otherwise(let(one, spell_out))
 
 
 @F.pandas_udf(StringType())
