@@ -126,9 +126,8 @@ def best_per_key(spark, sf):
 
 
 def split_history(spark, sf):
-    keyed = keys.with_keys(views.postings(spark, sf)).select(
-        "seq", "url", "title", "company", "source", "location", "work_model", "posted_date", "normalized_url", "fingerprint"
-    )
+    """Keyed postings, stored once, as (history, batch)."""
+    keyed = keys.with_keys(views.postings(spark, sf)).select("seq", "url", "normalized_url", "fingerprint")
     keyed = materialize(keyed, "keyed")
     return keyed.where(views.is_history()), keyed.where(~views.is_history())
 
@@ -161,11 +160,10 @@ def select_new(spark, sf):
 
 @query
 def insert_ignore(spark, sf):
-    history, batch = split_history(spark, sf)
-    rows = batch.select(
-        "seq", F.regexp_replace("url", "&se=.*", "").alias("job_url"), "title", F.lit(None).cast("string").alias("source")
-    )
-    stored = history.select(F.regexp_replace("url", "&se=.*", "").alias("job_url"))
+    posts = views.postings(spark, sf)
+    job_url = F.regexp_replace("url", "&se=.*", "").alias("job_url")
+    rows = posts.where(~views.is_history()).select("seq", job_url, "title", F.lit(None).cast("string").alias("source"))
+    stored = posts.where(views.is_history()).select(job_url)
     return incremental.insert_ignore(stored, rows, F.col("seq")).select(
         "job_url", "seq", "title", "source", "posted_to_discord", "discord_channel_ids", "post_attempts", "normalized_url"
     )
