@@ -33,7 +33,7 @@ def main() -> None:
     spark = local_session(cores, shuffle_partitions=int(cores))
     warm_dir = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
     if os.path.isdir(warm_dir):
-        for name in HEADLINE[:8]:
+        for name in HEADLINE:
             run(spark, name, warm_dir)
     seconds = {name: run(spark, name, sf_dir) for name in HEADLINE}
     print(

@@ -399,6 +399,19 @@ FROM jobs LEFT JOIN outcomes USING (job_url)""",
   count(*) FILTER (a.post_attempts > j.post_attempts) AS failed,
   count(*) FILTER (j.posted_to_discord <> 2 AND a.posted_to_discord = 2) AS abandoned
 FROM jobs j JOIN after a USING (job_url)""",
+    "stream_delivery": """WITH RECURSIVE passes AS (
+  SELECT user_id::VARCHAR AS job_url, (day(ts) - 1)::INT AS pass_no, count(*) AS labels,
+    count(*) FILTER (event_type <> 'error') AS good, row_number() OVER (PARTITION BY user_id ORDER BY day(ts)) AS step
+  FROM events GROUP BY user_id, day(ts)),
+walk AS (
+  SELECT DISTINCT job_url, 0 AS pass_no, 0::BIGINT AS step, 0 AS status, 0 AS attempts, []::BIGINT[] AS ids FROM passes
+  UNION ALL
+  SELECT job_url, pass_no, step, CASE WHEN len(sent) = labels THEN 1 WHEN pass_no > 0 AND attempts + 1 >= 5 THEN 2 ELSE 0 END,
+    CASE WHEN len(sent) = labels THEN attempts ELSE attempts + 1 END, sent
+  FROM (SELECT p.*, w.attempts,
+          list_concat(CASE WHEN p.pass_no > 0 THEN list_sort(list_distinct(w.ids)) ELSE [] END, range(1, p.good + 1)) AS sent
+        FROM walk w JOIN passes p ON p.job_url = w.job_url AND p.step = w.step + 1 WHERE w.status = 0))
+SELECT job_url, pass_no, status, attempts, array_to_string(ids, ',') AS ids FROM walk WHERE step > 0""",
     "close_runs": with_(RUNS)
     + f"""SELECT id, CASE WHEN status = 'running' THEN 'interrupted' ELSE status END AS status,
   CASE WHEN status = 'running' THEN '2024-03-01 00:00:00' ELSE strftime(finished_at, {STAMP}) END AS finished_at FROM runs""",
@@ -438,7 +451,7 @@ UNION ALL SELECT p_brand, count(*) FROM part GROUP BY p_brand""",
   QUALIFY row_number() OVER (PARTITION BY normalized_url ORDER BY company_first, slot_first) = 1)""",
         scored("fresh", "seq", "title || ' ' || description", TAXONOMY),
     )
-    + """SELECT 1 AS id, 'ok' AS status, (SELECT count(*) FROM postings) AS fetched,
+    + """SELECT 1::BIGINT AS id, 'ok' AS status, (SELECT count(*) FROM postings) AS fetched,
   (SELECT count(*) FROM postings) - (SELECT count(*) FROM survivors) AS deduped, (SELECT count(*) FROM fresh) AS new_jobs,
-  (SELECT count(DISTINCT seq) FROM labels) AS posted, 0 AS errors""",
+  (SELECT count(DISTINCT seq) FROM labels) AS posted, 0::BIGINT AS errors""",
 }

@@ -104,8 +104,9 @@ def strip_tags(col: Column) -> Column:
     Only text with a `&` travels to Python; the rest is passed as null.
     """
     plain = F.regexp_replace(col, "<[^>]+>", " ")
-    resolved = unescape(F.when(plain.contains("&"), plain))
-    return strip(F.coalesce(resolved, plain))
+    has_reference = col.contains("&")
+    resolved = unescape(F.when(has_reference, plain))
+    return strip(F.when(has_reference, resolved).otherwise(plain))
 
 
 LINK = r"\[([^\]]*)\]\(([^)]+)\)"

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions.text import default_if_empty, text_or_empty
+from postmill.session import local_table
 
 RECENT = 50
 STATUSES = [0, 1, 2]
@@ -32,7 +33,7 @@ def major_counts(jobs: DataFrame) -> DataFrame:
 def status_counts(jobs: DataFrame) -> DataFrame:
     """Counts per status; 0, 1 and 2 always appear, other values if present."""
     counted = jobs.groupBy(F.col("posted_to_discord").cast("int").alias("status")).agg(F.count("*").alias("n"))
-    base = jobs.sparkSession.createDataFrame([(s, 0) for s in STATUSES], "status int, n bigint")
+    base = local_table(jobs.sparkSession, [(s, 0) for s in STATUSES], "status int, n bigint")
     return counted.unionByName(base).groupBy("status").agg(F.sum("n").alias("n"))
 
 

@@ -3,7 +3,9 @@
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -68,6 +70,16 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small fixed table as a local relation: Spark knows its size, so joins
+    broadcast it by the usual size check instead of shuffling the big side."""
+    names = [part.split()[0] for part in schema.split(", ")]
+    columns = {name: [row[i] for row in rows] for i, name in enumerate(names)}
+    return spark.createDataFrame(pa.table(columns)).select(
+        *[F.col(part.split()[0]).cast(part.split()[1]) for part in schema.split(", ")]
+    )
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal out rows of an input with fewer splits than cores (one small
     file); an input with enough splits is left alone."""
