@@ -390,6 +390,7 @@ FROM boards GROUP BY platform, key) WHERE problems <> ''""",
   CASE WHEN tried <> delivered THEN 'one or more channel sends failed' END AS last_error
 FROM jobs LEFT JOIN outcomes USING (job_url)""",
     "apply_retry": with_(JOBS, CHANNEL_CTE, ATTEMPTS, RETRIED) + "SELECT * FROM after",
+    "stored_jobs": with_(JOBS, CHANNEL_CTE, ATTEMPTS, RETRIED) + "SELECT * FROM after",
     "plan_retry": with_(JOBS, CHANNEL_CTE, PAGE)
     + "SELECT job_url, label_rank::INT AS rank, label AS major, channel_id, 1 AS score FROM targets",
     "retry_closed": with_(JOBS, CHANNEL_CTE, PAGE)
@@ -434,7 +435,12 @@ SELECT job_url, pass_no, status, attempts, array_to_string(ids, ',') AS ids FROM
     + """SELECT url, title, company, description, CASE line WHEN 2 THEN 'Dallas, TX' WHEN 5 THEN 'Brooklyn, NY' ELSE 'United States' END AS location,
   '' AS work_model, '' AS posted_date, 'Adzuna' AS source FROM postings WHERE line % 3 = 2""",
     "read_markdown": PART_ROWS.format(company="p_name", location="'Reno, NV'", model="'Hybrid'"),
-    "read_html": PART_ROWS.format(company="p_name || ' & Sons'", location="'Reno, NV'", model="''"),
+    "read_html": PART_ROWS.format(company="p_name || ' & Sons'", location="'Reno,' || chr(160) || 'NV'", model="''"),
+    "read_readmes": "SELECT * FROM ("
+    + PART_ROWS.format(company="p_name", location="'Reno, NV'", model="'Hybrid'")
+    + ") WHERE source LIKE '%0' UNION ALL SELECT * FROM ("
+    + PART_ROWS.format(company="p_name || ' & Sons'", location="'Reno,' || chr(160) || 'NV'", model="''")
+    + ") WHERE source NOT LIKE '%0'",
     "read_landed": with_(
         POSTINGS,
         "lever AS (SELECT *, ((supp * 10000 + ord // 500) % 10 = 3) AS broken FROM postings WHERE line % 3 = 1)",

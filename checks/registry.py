@@ -9,7 +9,7 @@ from postmill.functions import keys, text
 from postmill.functions.urls import normalize_url
 from postmill.operators import classify, dedupe, delivery, evolve, incremental, ledger, monitor, routing
 from postmill.plans import daily, store, views
-from postmill.schemas import POSTING
+from postmill.schemas import JOBS, POSTING
 from postmill.session import materialize, new_folder, spread
 from postmill.sources import json_feeds, readme_tables, union
 from postmill.streaming import delivery_state, ingest
@@ -463,6 +463,19 @@ def evolve_backfill(spark, sf):
     return table.select("id", "fingerprint", "normalized_url", "post_attempts", "source", F.lit(version).alias("version"))
 
 
+@query
+def stored_jobs(spark, sf):
+    """Jobs table read back from a store after a retry pass was recorded."""
+    jobs = views.jobs(spark, sf)
+    target = store.Store.create(spark, new_folder(spark, "store"))
+    full = evolve.evolve(jobs).select(*JOBS.names)
+    store.append(full, target.inserts_path)
+    tried = attempts(spark, sf)
+    touched = target.jobs().join(tried.select("job_url").distinct(), "job_url", "left_semi")
+    target.record_states(delivery.apply_retry(touched, tried), version=1)
+    return states(target.jobs())
+
+
 # --- readers ------------------------------------------------------------------------------
 
 
@@ -495,6 +508,19 @@ def read_html(spark, sf):
     return readme_tables.read_html_tables(views.readme_docs(spark, sf, False)).select(*TEXT_COLUMNS)
 
 
+@query
+def read_readmes(spark, sf):
+    """Documents of both formats, told apart by the catalog entry of their name."""
+    brands = views.read(spark, sf, "part").select(F.expr("concat(p_brand, '/', p_partkey div 500)").alias("key")).distinct()
+    catalog = brands.select(
+        F.lit("GitHub").alias("platform"), "key", F.when(F.col("key").endswith("0"), "markdown").otherwise("html").alias("format")
+    )
+    docs = views.readme_docs(spark, sf, True).where(F.col("name").endswith("0")).unionByName(
+        views.readme_docs(spark, sf, False).where(~F.col("name").endswith("0"))
+    )
+    return readme_tables.read_readmes(docs, catalog).select(*TEXT_COLUMNS)
+
+
 @query
 def read_landed(spark, sf):
     """All kinds landed as files and read together, with broken bodies among
