@@ -109,6 +109,7 @@ def strip_tags(col: Column) -> Column:
     return strip(F.when(has_reference, resolved).otherwise(plain))
 
 
+# Fixed value: Markdown link pattern.
 LINK = r"\[([^\]]*)\]\(([^)]+)\)"
 
 
@@ -149,7 +150,9 @@ def has_word(text: Column, keyword: str) -> Column:
     return text.contains(low) & text.rlike(pattern)
 
 
+# Fixed value: words that mark an internship.
+INTERNSHIP = "intern(ship)?|co-?op"
+
+
 def is_internship(col: Column) -> Column:
-    return F.coalesce(col, F.lit("")).rlike(
-        rf"(?iu)(?<!{WORD})(intern(ship)?|co-?op)(?!{WORD})"
-    )
+    return text_or_empty(col).rlike(rf"(?iu)(?<!{WORD})({INTERNSHIP})(?!{WORD})")
