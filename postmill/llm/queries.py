@@ -3,7 +3,9 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from postmill.llm import decontaminate, licenses, line_dedup, quality, token_store, warc
+from postmill.llm import (
+    decontaminate, licenses, line_dedup, pii, quality, sentencepieces, token_counts, token_store, warc,
+)
 from postmill.llm.text import documents
 from postmill.session import new_folder
 
@@ -27,6 +29,17 @@ def op1_token_store(spark, sf_dir):
     return token_store.with_crc(token_store.read_tokens(spark, folder, manifest))
 
 
+@query
+def op2_sentencepiece(spark, sf_dir):
+    docs = documents(read(spark, sf_dir, "documents"))
+    found = sentencepieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select(
+        "doc_id", "pieces.n_pieces", F.crc32("pieces.ids").alias("ids_crc32"),
+        F.sha2("pieces.decoded", 256).alias("decoded_sha256"),
+        (F.col("pieces.decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 @query
 def op3_line_dedup(spark, sf_dir):
     docs = line_dedup.drop_repeated_lines(documents(read(spark, sf_dir, "documents")))
@@ -36,6 +49,13 @@ def op3_line_dedup(spark, sf_dir):
     )
 
 
+@query
+def op4_token_counts(spark, sf_dir):
+    docs = documents(read(spark, sf_dir, "documents"))
+    counted = token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return counted.select("doc_id", "token_counts.*")
+
+
 @query
 def op6_warc(spark, sf_dir):
     manifest = warc.write_warc(read(spark, sf_dir, "pages"), new_folder(spark, "warc"))
@@ -51,6 +71,15 @@ def op7_quality_rules(spark, sf_dir):
     )
 
 
+@query
+def op8_personal_data(spark, sf_dir):
+    found = F.col("pii")
+    return pii.detect(documents(read(spark, sf_dir, "documents"))).select(
+        "doc_id", *[F.size(found["base"][k]).cast("bigint").alias(f"n_{k}") for k in pii.PATTERNS],
+        F.sha2(pii.spelled(found["base_spans"]), 256).alias("base_sha256"), pii.spelled(found["spans"]).alias("spans"),
+    )
+
+
 @query
 def op9_decontamination(spark, sf_dir):
     docs = documents(read(spark, sf_dir, "documents"))
