@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from postmill.llm import (
-    decontaminate, licenses, line_dedup, pii, quality, sentencepieces, token_counts, token_store, warc,
+    decontaminate, licenses, line_dedup, ngram_join, pii, quality, sentencepieces, token_counts, token_store, warc,
 )
 from postmill.llm.text import documents
 from postmill.session import new_folder
@@ -56,6 +56,11 @@ def op4_token_counts(spark, sf_dir):
     return counted.select("doc_id", "token_counts.*")
 
 
+@query
+def op5_ngram_join(spark, sf_dir):
+    return ngram_join.components(documents(read(spark, sf_dir, "documents")), width=3, percent=90)
+
+
 @query
 def op6_warc(spark, sf_dir):
     manifest = warc.write_warc(read(spark, sf_dir, "pages"), new_folder(spark, "warc"))
