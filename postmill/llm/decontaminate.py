@@ -28,7 +28,8 @@ from pyspark.sql import types as T
 
 from postmill.llm.text import plain_words, slices
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: A word of a text as it is, A-Z included, which `plain_words` lower-cases.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Words of benchmark text in one automaton; about 13 nodes of it a word.
 BLOCK_WORDS = 100_000
 FOUND = "n_words bigint, n_hit bigint, items array<bigint>, spans array<struct<start:bigint,end:bigint>>"
