@@ -1,5 +1,6 @@
 """One query per operator, over whole tables: (spark, sf_dir) -> DataFrame."""
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -105,3 +106,8 @@ def op10_license_scan(spark, sf_dir):
         "doc_id", *[found[c].alias(c) for c in ("n_words", "n_base", "first_word", "last_word")],
         *[F.array_join(found[c], ",").alias(c) for c in ("base_labels", "labels")], found["score"].alias("score"),
     )
+
+
+@query
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
