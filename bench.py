@@ -6,12 +6,13 @@ Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (8).
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from checks.registry import QUERIES  # noqa: E402
-from postmill.session import local_session  # noqa: E402
+from postmill.session import local_session, use_scratch  # noqa: E402
 
 HEADLINE = [
     "normalize_posting_url", "fingerprints", "page_text", "classify_keywords", "classify_documents",
@@ -30,7 +31,7 @@ def run(spark, name: str, sf_dir: str) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session(cores, shuffle_partitions=int(cores))
+    spark = use_scratch(local_session(cores, shuffle_partitions=int(cores)), tempfile.mkdtemp(prefix="postmill-bench-"))
     warm_dir = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
     if os.path.isdir(warm_dir):
         for name in HEADLINE:

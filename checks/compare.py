@@ -6,6 +6,7 @@
 import datetime
 import decimal
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -55,10 +56,10 @@ def differences(spark, con, name: str, sf_dir: str) -> str | None:
 
 
 def main(argv):
-    from postmill.session import local_session
+    from postmill.session import local_session, use_scratch
 
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
-    spark, con = local_session(), connect(sf_dir)
+    spark, con = use_scratch(local_session(), tempfile.mkdtemp(prefix="postmill-compare-")), connect(sf_dir)
     bad = 0
     for name in argv[1:] or QUERIES:
         if name not in ORACLES:

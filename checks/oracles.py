@@ -23,7 +23,7 @@ def rows(*values) -> str:
 
 
 POSTINGS = """postings AS (
-  SELECT ((((l_orderkey * 8 + l_linenumber) * 262144 + l_partkey) * 16384 + l_suppkey) * 64 + l_quantity::INT)::BIGINT AS seq,
+  SELECT ((l_orderkey * 8 + l_linenumber) * 256 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) - 1)::BIGINT AS seq,
     l_orderkey AS ord, l_linenumber AS line, l_suppkey AS supp,
     'HTTPS://WWW.Jobs.example.com/ad/' || l_partkey || '/?utm_source=feed&v=' || l_linenumber || '&se=' || l_orderkey AS url,
     CASE WHEN l_linenumber = 7 THEN 'Engineering Intern'
@@ -32,12 +32,14 @@ POSTINGS = """postings AS (
                    ELSE 'Intern - JR-' || (10000 + l_partkey) END END AS title,
     CASE l_linenumber % 4 WHEN 0 THEN s_name || ', Inc.' WHEN 1 THEN 'The ' || s_name || ' Company'
          WHEN 2 THEN s_name || ' Labs, LLC' ELSE 'Café ' || s_name END AS company,
-    substring(p_name || ' ' || p_brand || ' ' || l_returnflag || ' supply chain operations software', 1, CAST(10 + l_quantity AS INT)) AS description,
+    p_name || ' ' || p_brand || ' ' || l_returnflag || ' ' || TERM_LIST[(l_partkey + l_linenumber) % TERM_COUNT + 1] || repeat(' on site', l_quantity::INT) AS description,
     CASE l_linenumber % 4 WHEN 0 THEN 'Dallas, Texas' WHEN 1 THEN 'Dallas, TX' WHEN 2 THEN 'Remote - ' || n_name ELSE '' END AS location,
     CASE l_returnflag WHEN 'A' THEN 'Hybrid' WHEN 'R' THEN 'On Site' ELSE '' END AS work_model,
     '' AS posted_date,
     CASE l_linenumber % 3 WHEN 0 THEN 'Greenhouse/s' || l_suppkey WHEN 1 THEN 'org/repo' ELSE 'Adzuna' END AS source
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)"""
+TERMS = [keywords[1] for keywords in TAXONOMY.values()]
+POSTINGS = POSTINGS.replace("TERM_LIST", words(TERMS)).replace("TERM_COUNT", str(len(TERMS)))
 
 
 def ascii_of(col: str) -> str:
@@ -164,7 +166,7 @@ CHANNEL_CTE = "channels AS (SELECT * FROM " + rows(
     *[(quote(m), str(c), quote(COLORS[m]), str(i)) for i, (m, c) in enumerate(CHANNELS.items())]
 ) + " v(major, channel_id, color, rank))"
 
-CHANNEL_OF_ORDER = "'1454242243803087000'"
+CHANNEL_OF_ORDER = "'1002'"
 JOBS = f"""jobs AS (
   SELECT o_orderkey AS id, 'https://jobs.example.com/o/' || o_orderkey AS job_url, 'Role ' || o_orderpriority AS title,
     'Customer ' || o_custkey AS company,
@@ -187,15 +189,24 @@ RUNS = """runs AS (
          WHEN date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) % 7 = 3 THEN 'error' ELSE 'ok' END AS status
   FROM events GROUP BY CAST(ts AS DATE))"""
 ATTEMPTS = """attempts AS (
-  SELECT 'https://jobs.example.com/o/' || user_id AS job_url, c.major, c.channel_id, c.rank, min(value) >= 0.5 AS ok
-  FROM events JOIN channels c ON c.major = CASE event_type WHEN 'view' THEN 'mechanical' WHEN 'click' THEN 'civil'
-    WHEN 'signup' THEN 'MIS' WHEN 'purchase' THEN 'CIS' ELSE 'computer science' END
-  GROUP BY user_id, c.major, c.channel_id, c.rank),
-outcomes AS (
+  SELECT 'https://jobs.example.com/o/' || user_id AS job_url, CASE event_type WHEN 'view' THEN 'mechanical' WHEN 'click' THEN 'civil'
+    WHEN 'signup' THEN 'MIS' WHEN 'purchase' THEN 'CIS' ELSE 'computer science' END AS major, min(value) >= 0.5 AS ok
+  FROM events GROUP BY 1, 2),
+wanted AS (
+  SELECT job_url, m.rank, c.major, c.channel_id, list_contains(string_split(discord_channel_ids, ','), c.channel_id::VARCHAR) AS sent
+  FROM jobs j, unnest(string_split(j.majors, ',')) WITH ORDINALITY AS m(label, rank) JOIN channels c ON c.major = m.label),
+tries AS (SELECT w.*, coalesce(ok, false) AS ok FROM wanted w LEFT JOIN attempts USING (job_url, major))"""
+
+
+def outcomes(which: str) -> str:
+    return f"""outcomes AS (
   SELECT job_url, count(*) AS tried, count(*) FILTER (ok) AS delivered,
     coalesce(list(channel_id::VARCHAR ORDER BY rank) FILTER (ok), []) AS ids
-  FROM attempts GROUP BY job_url)"""
-PAGE = """page AS (SELECT * FROM jobs WHERE posted_to_discord = 0 AND post_attempts < 5 ORDER BY date_found NULLS FIRST, id LIMIT 200),
+  FROM tries WHERE {which} GROUP BY job_url)"""
+
+
+FIRST, AGAIN = outcomes("true"), outcomes("NOT sent")
+PAGE = """page AS (SELECT * FROM jobs WHERE posted_to_discord = 0 AND post_attempts < 5),
 targets AS (
   SELECT p.*, m.rank - 1 AS label_rank, c.major AS label, c.channel_id
   FROM page p, unnest(string_split(p.majors, ',')) WITH ORDINALITY AS m(label, rank) JOIN channels c ON c.major = m.label
@@ -321,7 +332,7 @@ FROM postings LEFT JOIN ranked USING (seq)""",
     + """SELECT chunk_id, count(*) AS slots, count(*) FILTER (majors IS NULL) AS missing,
   count(*) FILTER (majors IS NULL) > count(*) / 2.0 AS discarded FROM aligned GROUP BY chunk_id""",
     "chunk_text": with_(SLOTS)
-    + """SELECT chunk_id, string_agg('[' || index || ']' || chr(10) || 'Title: ' || p_name || chr(10) || 'Description: ' || p_type,
+    + """SELECT chunk_id, string_agg('[' || index || ']' || chr(10) || 'Title: ' || p_name || chr(10) || 'Description: ' || left(repeat(p_type || ' ', 3 * p_size), 600),
   chr(10) || chr(10) ORDER BY index) AS text FROM slots GROUP BY chunk_id""",
     "route_cards": with_(POSTINGS, POSTING_LABELS, CHANNEL_CTE)
     + """SELECT seq, (row_number() OVER (PARTITION BY seq ORDER BY score DESC, ord) - 1)::INT AS rank, l.major, channel_id, title, url, color,
@@ -356,7 +367,7 @@ GROUP BY status""",
     + f"""SELECT id, posted_to_discord, post_attempts, strftime(date_found, {STAMP}) AS date_found FROM jobs
 WHERE posted_to_discord IN (0, 2) ORDER BY post_attempts DESC, jobs.date_found DESC, id""",
     "unposted_jobs": with_(JOBS, CHANNEL_CTE, PAGE)
-    + f"SELECT id, post_attempts, strftime(date_found, {STAMP}) AS date_found FROM page",
+    + f"SELECT id, post_attempts, strftime(date_found, {STAMP}) AS date_found FROM page ORDER BY page.date_found NULLS FIRST, id LIMIT 200",
     "last_run": with_(RUNS)
     + f"""SELECT id, strftime(started_at, {STAMP}) AS started_at, strftime(finished_at, {STAMP}) AS finished_at, fetched, deduped,
   new_jobs, posted, errors, status FROM runs ORDER BY id DESC LIMIT 1""",
@@ -369,7 +380,7 @@ UNION ALL SELECT 'major_counts', trim(m), count(*) FROM (SELECT unnest(string_sp
 UNION ALL SELECT 'status_counts', status::VARCHAR, count(j.id) FROM (VALUES (0), (1), (2)) v(status)
   LEFT JOIN jobs j ON posted_to_discord = status GROUP BY 2
 UNION ALL SELECT 'last_run', arg_max(status, id), max(id) FROM runs
-UNION ALL SELECT 'recent_job_count', '', least(count(*), 50) FROM jobs""",
+UNION ALL SELECT 'recent_job_count', '', count(*) FROM jobs WHERE date_found >= TIMESTAMP '1998-01-01 00:00:00'""",
     "fetch_counts": with_(POSTINGS)
     + "SELECT coalesce(source, '(all)') AS source, count(*) AS n FROM postings GROUP BY ROLLUP (postings.source)",
     "source_health": with_(POSTINGS)
@@ -382,20 +393,20 @@ SELECT * FROM (SELECT platform, key, array_to_string(list_filter([CASE WHEN coun
   CASE WHEN key <> lower(key) THEN 'not lower case' END,
   CASE WHEN NOT regexp_matches(key, '^[a-z0-9][a-z0-9-]*[a-z0-9]$|^[a-z0-9]$') THEN 'not a slug' END], lambda x: x IS NOT NULL), ',') AS problems
 FROM boards GROUP BY platform, key) WHERE problems <> ''""",
-    "apply_results": with_(JOBS, CHANNEL_CTE, ATTEMPTS)
+    "apply_results": with_(JOBS, CHANNEL_CTE, ATTEMPTS, FIRST)
     + """SELECT job_url,
   CASE WHEN tried IS NULL THEN posted_to_discord WHEN tried = delivered THEN 1 ELSE 0 END AS posted_to_discord,
   CASE WHEN tried IS NULL THEN discord_channel_ids ELSE array_to_string(ids, ',') END AS discord_channel_ids,
   CASE WHEN tried <> delivered THEN post_attempts + 1 ELSE post_attempts END AS post_attempts,
   CASE WHEN tried <> delivered THEN 'one or more channel sends failed' END AS last_error
 FROM jobs LEFT JOIN outcomes USING (job_url)""",
-    "apply_retry": with_(JOBS, CHANNEL_CTE, ATTEMPTS, RETRIED) + "SELECT * FROM after",
-    "stored_jobs": with_(JOBS, CHANNEL_CTE, ATTEMPTS, RETRIED) + "SELECT * FROM after",
+    "apply_retry": with_(JOBS, CHANNEL_CTE, ATTEMPTS, AGAIN, RETRIED) + "SELECT * FROM after",
+    "stored_jobs": with_(JOBS, CHANNEL_CTE, ATTEMPTS, AGAIN, RETRIED) + "SELECT * FROM after",
     "plan_retry": with_(JOBS, CHANNEL_CTE, PAGE)
     + "SELECT job_url, label_rank::INT AS rank, label AS major, channel_id, 1 AS score FROM targets",
     "retry_closed": with_(JOBS, CHANNEL_CTE, PAGE)
     + "SELECT job_url, 1 AS posted_to_discord, discord_channel_ids FROM page WHERE job_url NOT IN (SELECT job_url FROM targets)",
-    "pass_counts": with_(JOBS, CHANNEL_CTE, ATTEMPTS, RETRIED)
+    "pass_counts": with_(JOBS, CHANNEL_CTE, ATTEMPTS, AGAIN, RETRIED)
     + """SELECT count(*) FILTER (j.posted_to_discord <> 1 AND a.posted_to_discord = 1) AS posted,
   count(*) FILTER (a.post_attempts > j.post_attempts) AS failed,
   count(*) FILTER (j.posted_to_discord <> 2 AND a.posted_to_discord = 2) AS abandoned
@@ -443,7 +454,7 @@ SELECT job_url, pass_no, status, attempts, array_to_string(ids, ',') AS ids FROM
     + ") WHERE source NOT LIKE '%0'",
     "read_landed": with_(
         POSTINGS,
-        "lever AS (SELECT *, ((supp * 10000 + ord // 500) % 10 = 3) AS broken FROM postings WHERE line % 3 = 1)",
+        "lever AS (SELECT *, ((supp * 1048576 + ord // 500) % 10 = 3) AS broken FROM postings WHERE line % 3 = 1)",
     )
     + f"""SELECT 'Greenhouse' AS kind, count(*) AS n FROM postings WHERE line % 3 = 0
 UNION ALL SELECT 'Lever', count(*) FROM lever WHERE NOT broken AND ({INTERN.format(LEVER_TEXT)} OR work_model <> '')

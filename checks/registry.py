@@ -1,5 +1,7 @@
 """One query per operator, over the sample tables."""
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from postmill.functions.urls import normalize_url
 from postmill.operators import classify, dedupe, delivery, evolve, incremental, ledger, monitor, routing
 from postmill.plans import daily, store, views
 from postmill.schemas import JOBS, POSTING
-from postmill.session import materialize, new_folder, spread
+from postmill.session import materialize, new_folder
 from postmill.sources import json_feeds, readme_tables, union
 from postmill.streaming import delivery_state, ingest
 
@@ -33,7 +35,7 @@ def majors_text(col="majors"):
 
 @query
 def normalize_page_url(spark, sf):
-    pages = spread(views.read(spark, sf, "pages"))
+    pages = views.dealt(views.read(spark, sf, "pages"))
     return pages.select("page_id", normalize_url(F.col("url")).alias("normalized_url"))
 
 
@@ -44,13 +46,13 @@ def normalize_posting_url(spark, sf):
 
 @query
 def page_text(spark, sf):
-    pages = spread(views.read(spark, sf, "pages"))
+    pages = views.dealt(views.read(spark, sf, "pages"))
     return pages.select("page_id", text.strip_tags(F.col("html")).alias("text"))
 
 
 @query
 def page_links(spark, sf):
-    pages = spread(views.read(spark, sf, "pages"))
+    pages = views.dealt(views.read(spark, sf, "pages"))
     items = F.regexp_extract_all("html", F.lit("(?s)<li>(.*?)</li>"), F.lit(1))
     return pages.select("page_id", F.posexplode(items).alias("pos", "item")).select(
         "page_id", "pos", F.regexp_extract("item", 'href="([^"]+)"', 1).alias("href"),
@@ -60,7 +62,7 @@ def page_links(spark, sf):
 
 @query
 def fold_documents(spark, sf):
-    docs = spread(views.read(spark, sf, "documents"))
+    docs = views.dealt(views.read(spark, sf, "documents"))
     return docs.select("doc_id", text.fold_ascii(F.col("text")).alias("folded"))
 
 
@@ -179,7 +181,7 @@ def classify_keywords(spark, sf):
 
 @query
 def classify_documents(spark, sf):
-    docs = spread(views.read(spark, sf, "documents")).select(
+    docs = views.dealt(views.read(spark, sf, "documents")).select(
         "doc_id", F.lit("").alias("title"), F.col("text").alias("description")
     )
     return classify.classify_keywords(docs, DOCUMENT_WORDS).select("doc_id", majors_text().alias("majors"))
@@ -254,8 +256,8 @@ def route_overridden(spark, sf):
 @query
 def unknown_overrides(spark, sf):
     """Labels of the jobs table, taken as overrides, that are not known."""
-    labels = monitor.major_counts(views.jobs(spark, sf)).select("major")
-    return labels.subtract(dims.channels_df(spark).select("major"))
+    labels = [r["major"] for r in monitor.major_counts(views.jobs(spark, sf)).select("major").collect()]  # a few
+    return routing.unknown_overrides(dims.channels_df(spark), json.dumps(dict.fromkeys(labels, "1")))
 
 
 @query
@@ -306,7 +308,7 @@ def failed_jobs(spark, sf):
 
 @query
 def unposted_jobs(spark, sf):
-    return stamped(delivery.unposted(views.jobs(spark, sf)).select("id", "post_attempts", "date_found"), "date_found")
+    return stamped(delivery.unposted(views.jobs(spark, sf), limit=200).select("id", "post_attempts", "date_found"), "date_found")
 
 
 @query
@@ -322,19 +324,19 @@ def pass_status(spark, sf):
 @query
 def stats_json(spark, sf):
     runs = views.runs(spark, sf).drop("started_at", "finished_at")
-    stats = monitor.stats_json(views.jobs(spark, sf), runs)
+    stats = monitor.stats_json(views.jobs(spark, sf), runs, F.lit("1998-01-01 00:00:00").cast("timestamp"))
     read = "struct<source_counts:map<string,bigint>, major_counts:map<string,bigint>, status_counts:map<string,bigint>, last_run:struct<id:bigint,status:string>, recent_job_count:bigint>"
     doc = stats.select(F.from_json("stats", read).alias("d")).select("d.*")
-    flat = [
-        doc.select(F.lit(c).alias("part"), F.explode(c).alias("name", "n"))
-        for c in ("source_counts", "major_counts", "status_counts")
-    ]
-    flat.append(doc.select(F.lit("last_run").alias("part"), F.col("last_run.status").alias("name"), F.col("last_run.id").alias("n")))
-    flat.append(doc.select(F.lit("recent_job_count").alias("part"), F.lit("").alias("name"), F.col("recent_job_count").alias("n")))
-    out = flat[0]
-    for part in flat[1:]:
-        out = out.unionByName(part)
-    return out
+
+    def entries(part):
+        return F.transform(F.map_entries(part), lambda e: F.struct(F.lit(part).alias("part"), e["key"].alias("name"), e["value"].alias("n")))
+
+    single = F.array(
+        F.struct(F.lit("last_run").alias("part"), F.col("last_run.status").alias("name"), F.col("last_run.id").alias("n")),
+        F.struct(F.lit("recent_job_count").alias("part"), F.lit("").alias("name"), F.col("recent_job_count").alias("n")),
+    )
+    every = F.concat(*[entries(c) for c in ("source_counts", "major_counts", "status_counts")], single)
+    return doc.select(F.explode(every).alias("e")).select("e.*")
 
 
 @query
@@ -362,11 +364,7 @@ def catalog_check(spark, sf):
 
 
 def attempts(spark, sf):
-    ranks = {m: i for i, m in enumerate(dims.CHANNELS)}
-    rank = F.from_json(F.lit(str(ranks).replace("'", '"')), "map<string,int>")
-    return views.deliveries(spark, sf).join(dims.channels_df(spark).select("major", "channel_id"), "major").withColumn(
-        "rank", F.try_element_at(rank, F.col("major"))
-    )
+    return views.deliveries(spark, sf)
 
 
 def states(df):
@@ -375,12 +373,14 @@ def states(df):
 
 @query
 def apply_results(spark, sf):
-    return states(delivery.apply_results(views.jobs(spark, sf), attempts(spark, sf)))
+    jobs = views.jobs(spark, sf)
+    wanted = delivery.targets(jobs, dims.channels_df(spark))
+    return states(delivery.apply_results(jobs, wanted, attempts(spark, sf)))
 
 
 @query
 def apply_retry(spark, sf):
-    return states(delivery.apply_retry(views.jobs(spark, sf), attempts(spark, sf)))
+    return states(delivery.apply_retry(views.jobs(spark, sf), dims.channels_df(spark), attempts(spark, sf)))
 
 
 @query
@@ -398,7 +398,7 @@ def retry_closed(spark, sf):
 @query
 def pass_counts(spark, sf):
     jobs = views.jobs(spark, sf)
-    return delivery.pass_counts(jobs, delivery.apply_retry(jobs, attempts(spark, sf)))
+    return delivery.pass_counts(jobs, delivery.apply_retry(jobs, dims.channels_df(spark), attempts(spark, sf)))
 
 
 @query
@@ -417,7 +417,7 @@ def stream_delivery(spark, sf):
         .select("job_url", "pass_no", "labels", F.slice("all", F.lit(1), F.col("good").cast("int")).alias("delivered"))
     )
     landed = new_folder(spark, "passes")
-    passes.repartition(1).write.parquet(landed)
+    passes.write.parquet(landed)
     out = new_folder(spark, "delivery-states")
     stream = spark.readStream.schema(passes.schema).parquet(landed)
     running = (
@@ -470,9 +470,8 @@ def stored_jobs(spark, sf):
     target = store.Store.create(spark, new_folder(spark, "store"))
     full = evolve.evolve(jobs).select(*JOBS.names)
     store.append(full, target.inserts_path)
-    tried = attempts(spark, sf)
-    touched = target.jobs().join(tried.select("job_url").distinct(), "job_url", "left_semi")
-    target.record_states(delivery.apply_retry(touched, tried), version=1)
+    after = delivery.apply_retry(target.jobs(), dims.channels_df(spark), attempts(spark, sf))
+    target.record_states(after, version=1)
     return states(target.jobs())
 
 
@@ -484,18 +483,18 @@ TEXT_COLUMNS = [c for c in POSTING.names if c != "seq"]
 
 @query
 def read_greenhouse(spark, sf):
-    raw = views.greenhouse_raw(views.postings(spark, sf))
+    raw = views.greenhouse_raw(views.feed(spark, sf))
     return json_feeds.read_greenhouse(raw).select(*TEXT_COLUMNS)
 
 
 @query
 def read_lever(spark, sf):
-    return json_feeds.read_lever(views.lever_raw(views.postings(spark, sf))).select(*TEXT_COLUMNS)
+    return json_feeds.read_lever(views.lever_raw(views.feed(spark, sf))).select(*TEXT_COLUMNS)
 
 
 @query
 def read_adzuna(spark, sf):
-    return json_feeds.read_adzuna(views.adzuna_raw(views.postings(spark, sf))).select(*TEXT_COLUMNS)
+    return json_feeds.read_adzuna(views.adzuna_raw(views.feed(spark, sf))).select(*TEXT_COLUMNS)
 
 
 @query
@@ -526,7 +525,7 @@ def read_landed(spark, sf):
     """All kinds landed as files and read together, with broken bodies among
     them; postings per source kind."""
     folder = new_folder(spark, "landed")
-    posts = views.postings(spark, sf)
+    posts = views.feed(spark, sf)
     broken = F.when(F.col("doc_ord") % 10 == 3, F.concat(F.lit("{"), F.col("body"))).otherwise(F.col("body"))
     views.greenhouse_raw(posts).write.parquet(f"{folder}/greenhouse")
     views.lever_raw(posts).withColumn("body", broken).write.parquet(f"{folder}/lever")
@@ -541,14 +540,13 @@ def read_landed(spark, sf):
 
 @query
 def stream_first_seen(spark, sf):
-    """Postings landed in three files, read one file per micro-batch."""
-    landed, table = new_folder(spark, "landed"), new_folder(spark, "seen")
+    """Postings that land in three parts, each read by a run of its own."""
+    landed, table, offsets = (new_folder(spark, name) for name in ("landed", "seen", "offsets"))
     posts = materialize(views.postings(spark, sf), "posts")
     for part in range(3):
-        # Files are taken in order of their landing time.
-        posts.where(views.order_of() % 3 == part).coalesce(1).write.mode("append").parquet(landed)
-    stream = ingest.posting_stream(spark, landed, files_per_batch=1)
-    ingest.first_seen(spark, stream, table, new_folder(spark, "offsets")).awaitTermination()
+        # One run over what has landed since the one before.
+        posts.where(views.order_of() % 3 == part).write.mode("append").parquet(landed)
+        ingest.first_seen(spark, ingest.posting_stream(spark, landed, 10**6), table, offsets).awaitTermination()
     return spark.read.schema(ingest.SEEN).parquet(table).select("seq", "normalized_url", "fingerprint", "batch")
 
 

@@ -1,6 +1,6 @@
 """Monitoring aggregates over the jobs and runs tables."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions.text import default_if_empty, text_or_empty
@@ -56,29 +56,41 @@ def summary(jobs: DataFrame, runs: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def stats_json(jobs: DataFrame, runs: DataFrame) -> DataFrame:
-    """One JSON document. The maps in it have one entry per source, label and
-    status; the jobs themselves are only counted."""
+def stats_json(jobs: DataFrame, runs: DataFrame, recent_since: Column) -> DataFrame:
+    """One JSON document. The jobs are read and counted once, by (part, name);
+    the maps in it have one entry per source, label and status.
+    `recent_job_count`: jobs found at `recent_since` or later."""
 
-    def as_map(counts: DataFrame, key: str, name: str) -> DataFrame:
-        entries = F.array_sort(F.collect_list(F.struct(F.col(key).cast("string"), "n")))
-        return counts.agg(F.map_from_entries(entries).alias(name))
+    def entry(part: str, name: Column) -> Column:
+        return F.struct(F.lit(part).alias("part"), name.alias("name"))
 
-    recent_count = recent(jobs).agg(F.count("*").alias("recent_job_count"))
+    labels = F.filter(F.transform(F.split(text_or_empty(F.col("majors")), ","), lambda m: F.trim(m)), lambda m: m != "")
+    entries = F.concat(
+        F.array(
+            entry("source_counts", default_if_empty(F.col("source"), "unknown")),
+            entry("status_counts", F.col("posted_to_discord").cast("int").cast("string")),
+            entry("recent_job_count", F.when(F.col("date_found") >= recent_since, "")),
+        ),
+        F.transform(labels, lambda m: entry("major_counts", m)),
+    )
+    counted = jobs.select(F.explode(entries).alias("e")).where("e.name IS NOT NULL").groupBy("e.part", "e.name").agg(F.count("*").alias("n"))
+    always = [("status_counts", str(s), 0) for s in STATUSES] + [("recent_job_count", "", 0)]
+    base = local_table(jobs.sparkSession, always, "part string, name string, n bigint")
+    counts = counted.unionByName(base).groupBy("part", "name").agg(F.sum("n").alias("n"))
+
+    def as_map(part: str) -> Column:
+        mine = F.collect_list(F.when(F.col("part") == part, F.struct("name", "n")))
+        return F.map_from_entries(F.array_sort(mine)).alias(part)
+
+    maps = counts.agg(
+        *[as_map(part) for part in ("source_counts", "major_counts", "status_counts")],
+        F.max(F.when(F.col("part") == "recent_job_count", F.col("n"))).alias("recent_job_count"),
+    )
     last = last_run(runs).agg(F.first(F.struct(*runs.columns)).alias("last_run"))
-    parts = [
-        as_map(source_counts(jobs), "source", "source_counts"),
-        as_map(major_counts(jobs), "major", "major_counts"),
-        as_map(status_counts(jobs), "status", "status_counts"),
-        last,
-        recent_count,
-    ]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part, allowMissingColumns=True)
-    fields = [F.first(c, ignorenulls=True).alias(c) for c in rows.columns]
-    return rows.agg(*fields).select(
-        F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("stats")
+    rows = maps.unionByName(last, allowMissingColumns=True)
+    names = ["source_counts", "major_counts", "status_counts", "last_run", "recent_job_count"]
+    return rows.agg(*[F.first(c, ignorenulls=True).alias(c) for c in names]).select(
+        F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("stats")
     )
 
 

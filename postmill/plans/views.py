@@ -1,32 +1,48 @@
 """Feed-shaped views derived from the sample tables."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from postmill.session import spread
+from postmill.dims import TAXONOMY
+
+# One keyword of each label.
+TERMS = [keywords[1] for keywords in TAXONOMY.values()]
 
 
 # Parts of `postings.seq`, from the least significant one.
-QUANTITY_BITS, SUPPLIER_BITS, PART_BITS, LINE_BITS = 6, 14, 18, 3
+COPY_BITS, LINE_BITS = 8, 3
+# Order numbers in a landed document.
+ORDERS_PER_BODY = 500
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """POSTING rows from lineitem, part, supplier and nation.
+def dealt(table: DataFrame) -> DataFrame:
+    """The sample tables are single files; adaptive execution sizes the partitions."""
+    return table.hint("rebalance")
+
 
-    `seq` packs order, line, part and supplier numbers with the quantity and
-    is unique.
+def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """POSTING rows from lineitem, part, supplier and nation, and `supplier`.
+
+    `seq` packs order, line, and the number of the row among those with the same
+    order and line, of which there are few. Descriptions name one term of one
+    label of the taxonomy and differ in length.
     """
     line = F.col("l_linenumber")
+    copy = F.row_number().over(
+        Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity")
+    )
     rows = (
-        spread(read(spark, sf_dir, "lineitem"))
+        read(spark, sf_dir, "lineitem")
+        .withColumn("copy", copy - 1)
         .join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(read(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     )
+    term = F.get(F.array(*map(F.lit, TERMS)), ((F.col("l_partkey") + line) % len(TERMS)).cast("int"))
     kind = F.when(line % 3 == 0, "Internship (Summer 2026)").when(
         line % 3 == 1, "Co-Op [Remote]"
     ).otherwise(F.concat(F.lit("Intern - JR-"), (F.lit(10000) + F.col("l_partkey")).cast("string")))
@@ -35,8 +51,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return rows.select(
         F.expr(
-            f"(((l_orderkey * {1 << LINE_BITS} + l_linenumber) * {1 << PART_BITS} + l_partkey)"
-            f" * {1 << SUPPLIER_BITS} + l_suppkey) * {1 << QUANTITY_BITS} + bigint(l_quantity)"
+            f"(l_orderkey * {1 << LINE_BITS} + l_linenumber) * {1 << COPY_BITS} + copy"
         ).alias("seq"),
         F.concat(
             F.lit("HTTPS://WWW.Jobs.example.com/ad/"), F.col("l_partkey").cast("string"),
@@ -51,12 +66,9 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(line % 4 == 2, F.concat(F.col("s_name"), F.lit(" Labs, LLC")))
         .otherwise(F.concat(F.lit("Café "), F.col("s_name")))
         .alias("company"),
-        F.substring(
-            F.concat_ws(
-                " ", "p_name", "p_brand", "l_returnflag", F.lit("supply chain operations software")
-            ),
-            F.lit(1),
-            (F.lit(10) + F.col("l_quantity")).cast("int"),
+        F.concat(
+            F.concat_ws(" ", "p_name", "p_brand", "l_returnflag", term),
+            F.repeat(F.lit(" on site"), F.col("l_quantity").cast("int")),
         ).alias("description"),
         F.when(line % 4 == 0, "Dallas, Texas")
         .when(line % 4 == 1, "Dallas, TX")
@@ -72,12 +84,18 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(line % 3 == 1, "org/repo")
         .otherwise("Adzuna")
         .alias("source"),
+        F.col("l_suppkey").alias("supplier"),
     )
 
 
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """POSTING rows."""
+    return feed(spark, sf_dir).drop("supplier")
+
+
 def order_of():
     """The order number packed in `postings.seq`."""
-    return F.shiftright("seq", QUANTITY_BITS + SUPPLIER_BITS + PART_BITS + LINE_BITS)
+    return F.shiftright("seq", COPY_BITS + LINE_BITS)
 
 
 def is_history():
@@ -88,7 +106,7 @@ def is_history():
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOBS rows from orders."""
     key = F.col("o_orderkey")
-    channel = F.lit("1454242243803087000")
+    channel = F.lit("1002")
     return read(spark, sf_dir, "orders").select(
         key.alias("id"),
         F.concat(F.lit("https://jobs.example.com/o/"), key.cast("string")).alias("job_url"),
@@ -169,21 +187,17 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_of():
     """The line number packed in `postings.seq`."""
-    return F.shiftright("seq", QUANTITY_BITS + SUPPLIER_BITS + PART_BITS) % (1 << LINE_BITS)
-
-
-def supplier_of():
-    return F.shiftright("seq", QUANTITY_BITS) % (1 << SUPPLIER_BITS)
+    return F.shiftright("seq", COPY_BITS) % (1 << LINE_BITS)
 
 
 def _packed(rows: DataFrame, slug, item, wrap) -> DataFrame:
     """Landed JSON bodies: one per supplier and 500 orders, so a body stays
     small however large the table is."""
-    chunk = F.floor(order_of() / 500)
+    chunk = F.floor(order_of() / ORDERS_PER_BODY)
     return (
-        rows.groupBy(slug.alias("slug"), supplier_of().alias("s"), chunk.alias("c"))
+        rows.groupBy(slug.alias("slug"), F.col("supplier").alias("s"), chunk.alias("c"))
         .agg(F.collect_list(item).alias("items"))
-        .select("slug", (F.col("s") * 10000 + F.col("c")).alias("doc_ord"), F.to_json(wrap("items")).alias("body"))
+        .select("slug", F.expr("s * bigint(1048576) + c").alias("doc_ord"), F.to_json(wrap("items")).alias("body"))
     )
 
 
@@ -210,7 +224,7 @@ def lever_raw(posts: DataFrame) -> DataFrame:
         ).alias("categories"),
     )
     rows = posts.where(F.col("source") == "org/repo")
-    slug = F.concat(F.lit("s"), supplier_of().cast("string"), F.lit("-labs"))
+    slug = F.concat(F.lit("s"), F.col("supplier").cast("string"), F.lit("-labs"))
     return _packed(rows, slug, item, F.col)
 
 
@@ -235,7 +249,7 @@ def adzuna_raw(posts: DataFrame) -> DataFrame:
 def readme_docs(spark: SparkSession, sf_dir: str, markdown: bool) -> DataFrame:
     """Tables rendered from part: one document per brand and 500 part numbers,
     sorted by name, with the mark for a repeated company."""
-    part = spread(read(spark, sf_dir, "part"))
+    part = dealt(read(spark, sf_dir, "part"))
     chunk = F.expr("p_partkey div 500")
     entry = F.struct("p_name", "p_partkey", "p_type", "p_size")
     grouped = part.groupBy("p_brand", chunk.alias("chunk")).agg(F.sort_array(F.collect_list(entry)).alias("rows"))
@@ -265,14 +279,14 @@ def readme_docs(spark: SparkSession, sf_dir: str, markdown: bool) -> DataFrame:
     else:
         text = F.concat(F.lit("<table><thead><tr><th>x</th></tr></thead><tbody>\n"), lines, F.lit("\n</tbody></table>"))
     name = F.concat(F.col("p_brand"), F.lit("/"), F.col("chunk").cast("string"))
-    return grouped.select(name.alias("name"), F.xxhash64(name).bitwiseAND(F.lit(2**31 - 1)).alias("doc_ord"), text.alias("text"))
+    return grouped.select(name.alias("name"), F.expr("bigint(substring_index(p_brand, '#', -1)) * bigint(134217728) + chunk").alias("doc_ord"), text.alias("text"))
 
 
 def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of 15 parts as postings to be scored."""
     return read(spark, sf_dir, "part").select(
         F.expr("p_partkey div 15").alias("chunk_id"), F.expr("int(p_partkey % 15)").alias("index"),
-        F.col("p_name").alias("title"), F.col("p_type").alias("description"), "p_partkey", "p_size",
+        F.col("p_name").alias("title"), F.expr("repeat(concat(p_type, ' '), 3 * p_size)").alias("description"), "p_partkey", "p_size", "p_type",
     )
 
 
@@ -286,7 +300,7 @@ def responses(asked: DataFrame) -> DataFrame:
 
     first = F.array(
         entry(F.lit("civil"), F.lit(3)), entry(F.lit("unknown"), F.lit(4)),
-        entry(F.when(F.col("description") == "PROMO", "MIS").otherwise("mechanical"), size % 7),
+        entry(F.when(F.col("p_type") == "PROMO", "MIS").otherwise("mechanical"), size % 7),
     )
     second = F.array(entry(F.lit("chemical"), F.lit(5)))
     answers = F.when(size % 10 == 2, F.array(first, second)).otherwise(F.array(first))

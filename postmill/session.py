@@ -1,6 +1,5 @@
 """Session helpers."""
 
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -17,6 +16,7 @@ SETTINGS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+SCRATCH_DIR = "postmill.scratch.dir"
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra) -> SparkSession:
@@ -34,24 +34,20 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra)
     return spark
 
 
-_local_folders: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in `spark.checkpoint.dir`.
-
-    Only a local session may go without it and gets a temporary folder; on a
-    cluster a machine-local folder would be lost with its machine.
-    """
-    folder = spark.conf.get(CHECKPOINT_DIR, None)
-    if folder:
-        return folder
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors share")
-    if context.applicationId not in _local_folders:
-        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="postmill-")
-    return _local_folders[context.applicationId]
+    """The folder that all executors share: `spark.checkpoint.dir` as the cluster
+    names it, else what the caller has set as `postmill.scratch.dir`."""
+    folder = spark.conf.get(CHECKPOINT_DIR, None) or spark.conf.get(SCRATCH_DIR, None)
+    if not folder:
+        raise ValueError(f"set {CHECKPOINT_DIR}, or {SCRATCH_DIR} on this session, to a folder all executors share")
+    return folder
+
+
+def use_scratch(spark: SparkSession, folder: str) -> SparkSession:
+    """Name the scratch folder of a session for which no cluster has named one."""
+    if not spark.conf.get(CHECKPOINT_DIR, None) and not spark.conf.get(SCRATCH_DIR, None):
+        spark.conf.set(SCRATCH_DIR, folder)
+    return spark
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -79,9 +75,3 @@ def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
         *[F.col(part.split()[0]).cast(part.split()[1]) for part in schema.split(", ")]
     )
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal out rows of an input with fewer splits than cores (one small
-    file); an input with enough splits is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

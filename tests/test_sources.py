@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from postmill.dims import catalog_df
@@ -149,3 +151,15 @@ def test_catalog(spark):
     counts = {r.platform: r["count"] for r in catalog.groupBy("platform").count().collect()}
     assert counts == {"Adzuna": 50, "GitHub": 2, "Greenhouse": 35, "Lever": 1}
     assert catalog.where(F.col("format") == "html").count() == 1
+
+
+def test_seq_is_unique_across_kinds_and_checked(spark):
+    job = {"title": "Design Intern", "absolute_url": "u"}
+    greenhouse = json_feeds.read_greenhouse(raw(spark, ("a", {"jobs": [job, job]}), ("b", {"jobs": [job]})))
+    lever = json_feeds.read_lever(raw(spark, ("a", [{"text": "QA intern"}] * 2), ("b", [{"text": "QA intern"}])))
+    table = spark.createDataFrame([("r", 0, "| A | [T](u) | x | y | z |\n| B | [T](u) | x | y | z |")], TEXT)
+    both = union.union_sources(greenhouse, lever, readme_tables.read_markdown_tables(table))
+    assert both.select("seq").distinct().count() == both.count() >= 6
+    far = spark.createDataFrame([("a", 2**36, json.dumps({"jobs": [job]}))], RAW)
+    with pytest.raises(Exception, match="does not fit"):
+        json_feeds.read_greenhouse(far).collect()
