@@ -157,8 +157,8 @@ def _candidate(text: Column, span: Column) -> Column:
         .when(kind == "iban", F.when(size.between(15, 42) & (number >= 8), 1).otherwise(-1))
         .otherwise(F.when(F.length(F.regexp_replace(digits(value), F.substring(digits(value), 1, 1), "")) == 0, -1).otherwise(1))
     )
-    gazetteer = F.when(_one_of(kind, GAZETTEERS, value), 1).otherwise(F.when(kind.isin("iban", "ssn", "national"), -1).otherwise(0))
-    cues = F.when(before.rlike(FOR) | (kind == "secret"), 1).when(before.rlike(AGAINST), -1).otherwise(0)
+    gazetteer = F.when(_one_of(kind, GAZETTEERS, value), 1).otherwise(F.when(kind == "handle", 0).otherwise(-1))
+    cues = F.when(before.rlike(FOR), 1).when(before.rlike(AGAINST), -1).otherwise(0)
     char = lambda c: F.when(c.rlike("^[A-Za-z]"), "a").when(c.rlike("^[0-9]"), "0").when(c.rlike(r"^\s"), "_").when(c == "", "^").otherwise(".")
     return F.struct(
         start.alias("start"), span["end"].alias("end"), kind.alias("kind"),
