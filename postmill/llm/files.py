@@ -9,10 +9,11 @@ import posixpath
 import uuid
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BINS = 4096
 
@@ -72,16 +73,23 @@ def range_bounds(rows: DataFrame, target: int) -> list[int]:
     return bounds
 
 
-def shard_of(key, bounds: list[int]):
-    """Number of the range that a key is in; null is in the first."""
+def shard_numbers(keys: pa.Array, bounds: np.ndarray) -> np.ndarray:
+    """Number of the range that each key is in; null is in the first."""
+    known = keys.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+    return np.searchsorted(bounds, known, side="right").astype(np.int32)
+
+
+def with_shards(rows: DataFrame, key: str, bounds: list[int]) -> DataFrame:
+    """`rows` with the column `shard`."""
     cuts = np.array(bounds, dtype=np.int64)
+    where = rows.columns.index(key)
 
-    @F.pandas_udf("int")
-    def number(keys: pd.Series) -> pd.Series:
-        low = np.iinfo(np.int64).min
-        return pd.Series(np.searchsorted(cuts, keys.fillna(low).astype("int64").to_numpy(), side="right").astype("int32"))
+    def number(batches):
+        for batch in batches:
+            shards = pa.array(shard_numbers(batch.column(where), cuts))
+            yield pa.RecordBatch.from_arrays([*batch.columns, shards], names=[*batch.schema.names, "shard"])
 
-    return number(key)
+    return rows.mapInArrow(number, T.StructType([*rows.schema.fields, T.StructField("shard", T.IntegerType())]))
 
 
 def one_task_each(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

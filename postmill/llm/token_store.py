@@ -23,6 +23,8 @@ empty table gives no file and no rows; other columns are ignored.
 
 import os
 import posixpath
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm.files import filesystem, one_task_each, range_bounds, shard_of, temporary_name
+from postmill.llm.files import filesystem, one_task_each, range_bounds, shard_numbers, temporary_name
 from postmill.llm.text import slices
 from postmill.session import materialize, new_folder
 
@@ -38,6 +40,10 @@ from postmill.session import materialize, new_folder
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.int64)
 #: What of four bytes belongs to a rank of a length.
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
+#: Runs of these at a word's end are a unit of their own.
+PUNCTUATION = ".,;:!?|)]}"
+#: Units a task remembers before it forgets them all; some hundred bytes each.
+KNOWN_UNITS = 600_000
 MANIFEST = "shard int, path string, n_docs bigint, n_tokens bigint, n_bytes bigint"
 
 
@@ -78,11 +84,75 @@ def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class WordCoder:
+    """Ids of words; units that were coded before are looked up.
 
-    return Tokenizer.from_file(path)
+    A word of letters is one unit of the vocabulary's kind, whose last token is
+    marked as a word end; many such words are encoded as one text and told apart
+    by the marks. Words of other characters are encoded one by one, as are runs
+    of punctuation, which are cut off at the ends of words.
+    """
+
+    def __init__(self, path: str, together: int = 256):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.together = Tokenizer.from_file(path), together
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.place = {"": 0}
+        self.pool, self.sizes = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def code(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, concatenated, and their numbers."""
+        if len(self.place) > KNOWN_UNITS:
+            self.forget()
+        cores = [w.rstrip(PUNCTUATION) for w in words]
+        # Letters must stay letters in lower case, else a mark can join the punctuation.
+        units = [(c, w[len(c) :]) if c.isalpha() and c.lower().isalpha() else (w, "") for w, c in zip(words, cores, strict=True)]
+        self._learn(dict.fromkeys(u for pair in units for u in pair))
+        place = self.place
+        parts = np.fromiter((place[u] for pair in units for u in pair), np.int64, 2 * len(units))
+        counts = self.sizes[parts]
+        return self.pool[_ragged((np.cumsum(self.sizes) - self.sizes)[parts], counts)], counts.reshape(-1, 2).sum(axis=1)
+
+    def _learn(self, units) -> None:
+        new = [u for u in units if u not in self.place]
+        letters = [u for u in new if u.isalpha()]
+        ids, sizes, order = [self.pool], [self.sizes], []
+        alone = [u for u in new if not u.isalpha()]
+        groups = [letters[k : k + self.together] for k in range(0, len(letters), self.together)]
+        for group, found in zip(groups, self._encoded(map(" ".join, groups), 8), strict=True):
+            last = np.flatnonzero(self.ends[found])
+            if len(last) == len(group):
+                ids.append(found)
+                sizes.append(np.diff(last, prepend=-1))
+                order += group
+            else:
+                alone += group
+        found = list(self._encoded(iter(alone), 2048))
+        ids += found
+        sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+        order += alone
+        first = len(self.place)
+        self.place.update((u, first + k) for k, u in enumerate(order))
+        self.pool, self.sizes = np.concatenate(ids), np.concatenate(sizes)
+
+
+    def _encoded(self, texts, at_once: int):
+        """Ids of each text; the library's encodings are large, so few are held at a time."""
+        while part := list(islice(texts, at_once)):
+            for coded in self.tokenizer.encode_batch_fast(part, add_special_tokens=False):
+                yield np.array(coded.ids, dtype=np.uint32)
+
+
+@lru_cache(1)
+def word_coder(path: str) -> WordCoder:
+    """One a worker process; a task forgets the words it has met when it ends."""
+    return WordCoder(path)
 
 
 def encode(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
@@ -94,30 +164,24 @@ def encode(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """
 
     def encode_batches(batches):
-        tokenizer = _tokenizer(vocabulary)
+        coder = word_coder(vocabulary)
         for whole in batches:
-            for batch in slices(whole, "text", 32 << 20):
+            for batch in slices(whole, "text", 8 << 20):
                 split = pc.ascii_split_whitespace(batch.column("text").fill_null(""))
                 per_doc = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
                 coded = split.flatten().dictionary_encode()
-                spelled = coded.dictionary.to_pylist()
-                ids, sizes = [], []
-                for k in range(0, len(spelled), 20_000):
-                    part = [e.ids for e in tokenizer.encode_batch_fast(spelled[k : k + 20_000], add_special_tokens=False)]
-                    sizes += [len(x) for x in part]
-                    ids.append(np.fromiter((i for x in part for i in x), dtype=np.uint32))
-                vocab = np.concatenate([*ids, np.zeros(0, np.uint32)])
-                sizes = np.array(sizes, dtype=np.int64)
-                word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-                tokens = vocab[_ragged((np.cumsum(sizes) - sizes)[word], sizes[word])]
-                words_end = np.concatenate([[0], np.cumsum(per_doc)])
-                upto = np.concatenate([[0], np.cumsum(sizes[word])])[words_end]
+                vocab, sizes = coder.code(coded.dictionary.to_pylist())
+                word = coded.indices.to_numpy(zero_copy_only=False)
+                per_word = sizes[word]
+                tokens = vocab[_ragged((np.cumsum(sizes) - sizes)[word], per_word)]
+                upto = np.concatenate([[0], np.cumsum(per_word)])[np.concatenate([[0], np.cumsum(per_doc)])]
                 counts = np.diff(upto)
                 tokens = np.insert(tokens, upto[1:], end_id).astype("<u4")
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), pa.array(counts + 1), _binary(tokens.view(np.uint8), (counts + 1) * 4)],
                     names=["doc_id", "n_tokens", "ids"],
                 )
+        coder.forget()  # idle workers shall hold no words
 
     source = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     return source.mapInArrow(encode_batches, "doc_id bigint, n_tokens bigint, ids binary")
@@ -147,19 +211,20 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].view("<u4")
 
 
-def _rank(encoded: DataFrame, rank_of: np.ndarray) -> DataFrame:
-    """(doc_id, n_tokens, control, data) with the ids replaced by coded ranks."""
+def _rank(encoded: DataFrame, rank_of: np.ndarray, bounds: list[int]) -> DataFrame:
+    """(doc_id, n_tokens, control, data, shard) with the ids replaced by coded ranks."""
+    cuts = np.array(bounds, dtype=np.int64)
 
     def code(batches):
         for batch in batches:
             counts = batch.column("n_tokens").to_numpy().astype(np.int64)
             control, data, sizes = pack(rank_of[_ids(batch)], counts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n_tokens"), _binary(control, -(-counts // 4)), _binary(data, sizes)],
-                names=["doc_id", "n_tokens", "control", "data"],
+                [batch.column("doc_id"), batch.column("n_tokens"), _binary(control, -(-counts // 4)), _binary(data, sizes), pa.array(shard_numbers(batch.column("doc_id"), cuts))],
+                names=["doc_id", "n_tokens", "control", "data", "shard"],
             )
 
-    return encoded.mapInArrow(code, "doc_id bigint, n_tokens bigint, control binary, data binary")
+    return encoded.mapInArrow(code, "doc_id bigint, n_tokens bigint, control binary, data binary, shard int")
 
 
 def _write_files(folder: str):
@@ -206,7 +271,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, folder: str, sha
         out.write(id_of.tobytes())
     weights = encoded.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("key"), F.col("n_tokens").alias("weight"))
     bounds = range_bounds(weights, shard_tokens)
-    ranked = _rank(encoded, rank_of).withColumn("shard", shard_of(F.col("doc_id"), bounds))
+    ranked = _rank(encoded, rank_of, bounds)
     sorted_rows = ranked.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("doc_id", "control", "data")
     return materialize(sorted_rows.mapInArrow(_write_files(folder), MANIFEST), "manifest")
 

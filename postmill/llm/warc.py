@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm.files import (
-    filesystem, one_task_each, publish, range_bounds, shard_of, temporary_name,
+    filesystem, one_task_each, publish, range_bounds, temporary_name, with_shards,
 )
 from postmill.session import materialize
 
@@ -126,7 +126,7 @@ def write_warc(
     rows = pages.select(
         "page_id", "url", "payload", nothing.cast("binary").alias("digest"), nothing.cast("bigint").alias("refers_to"), F.lit(1).alias("kind")
     ).unionByName(verdicts)
-    dealt = rows.withColumn("shard", shard_of(F.col("page_id"), bounds)).repartitionById(len(bounds) + 1, F.col("shard"))
+    dealt = with_shards(rows, "page_id", bounds).repartitionById(len(bounds) + 1, F.col("shard"))
     ordered = dealt.sortWithinPartitions("page_id", "kind", "url", "payload", "digest")
     store, name = filesystem(folder)
     store.create_dir(name, recursive=True)
