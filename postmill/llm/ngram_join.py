@@ -4,20 +4,23 @@
 2. Sizes are cut into levels so that linked sets are in the same level or in
    neighbouring ones. What two linked sets may differ in is bounded per level. The
    hash space is cut into more parts than that, so linked sets are equal in some
-   part: each set gives one signature per part. Sets that share a signature are
-   candidates; unlike a single shingle, a part is hardly ever equal by chance or
-   by a shared passage. Components of candidates bound where links can be.
+   part: each set gives one signature per part. Where that would be more than
+   `MOST_PARTS` parts, bands of min-hashes are the signatures instead, so many
+   that a linked pair has none in common with a probability below `MISSED`. Sets
+   that share a signature are candidates; unlike a single shingle, a part or band
+   is hardly ever equal by chance. Components of candidates bound where links can
+   be.
 3. Each set is first compared exactly with the set that shares most parts with it
    and comes first, which joins most copies of a text at linear cost.
 4. In components that are still in several pieces, members are dealt into tiles by
    size level. A task compares two tiles by bitmaps: each shingle flips one bit,
    so the set bits of two bitmaps' XOR are at most the shingles in just one of
-   the sets, which bounds the overlap from above. Pairs that pass, one between
-   any two pieces, are intersected exactly by sorted arrays. Steps 3 and 4 repeat
-   until no pair passes.
+   the sets, which bounds the overlap from above. Of the pairs that pass, one
+   between any two pieces is intersected exactly by sorted arrays, then four
+   times as many, and so on, until no pair passes that isn't known to fail.
 
-No pair is lost: a pair that is not compared lies in one piece already, or has no
-equal part, or too many differing bits. No group is ever in one task: classes
+No pair is lost, but for that chance: a pair that is not compared lies in one piece
+already, or has no equal part, or too many differing bits. No group is ever in one task: classes
 are counted map-side, tiles have a bounded number of members, and joins on hot
 keys are plain equi-joins of narrow rows that Spark can split.
 
@@ -29,10 +32,10 @@ an empty table gives no rows; other columns are ignored.
 """
 
 import math
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -48,6 +51,12 @@ ONE_TILE = 512
 TILE = 2048
 #: A larger component's level is dealt into at least this many tiles, of 64 members or more.
 SPREAD = 32
+#: Words of the filter of ids: 2 MB, enough for some millions of candidates.
+FILTER_WORDS = 1 << 18
+#: Differing shingles up to which linked sets are found by equal parts, without fail.
+MOST_PARTS = 64
+#: Chance that two larger linked sets have no band in common.
+MISSED = 1e-16
 SETS = (
     "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, level int, signatures array<bigint>,"
     " own binary, next binary"
@@ -127,17 +136,51 @@ def parts_of(level: int, percent: int) -> tuple[int, int]:
     return 2 * least, least
 
 
-def signatures(shingles: np.ndarray, level: int, percent: int) -> np.ndarray:
-    """Hashes that a set has in common with every linked set whose larger one is of this level."""
+@lru_cache(16)
+def band_hashes(percent: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Min-hashes in a band, and the factors and offsets of all min-hashes."""
+    share = min(percent, 99) / 100
+    rows = max(1, round(math.log(0.34) / math.log(share)))
+    bands = math.ceil(math.log(MISSED) / math.log(1 - share**rows))
+    draw = np.random.default_rng(20)
+    factors, offsets = (draw.integers(0, 2**32, (bands * rows, 1), dtype=np.uint32) for _ in range(2))
+    return rows, factors | np.uint32(1), offsets
+
+
+def bands(shingles: np.ndarray, percent: int) -> np.ndarray:
+    """Hashes of the bands of a set's min-hashes."""
+    rows, factors, offsets = band_hashes(percent)
+    short = (shingles >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(factors), 2**32 - 1, dtype=np.uint32)
+    for k in range(0, len(short), 4096):
+        least = np.minimum(least, (factors * short[k : k + 4096] + offsets).min(axis=1))
+    found = np.zeros(len(factors) // rows, dtype=np.uint64)
+    for column in least.reshape(-1, rows).T:
+        found = mix(found ^ column.astype(np.uint64), 20)
+    return mix(found ^ np.arange(len(found), dtype=np.uint64), 21)
+
+
+class Mixed:
+    """A set's shingles with the hashes that signatures and bitmaps of all levels use."""
+
+    def __init__(self, shingles: np.ndarray):
+        self.shingles = shingles
+        self.mixed, self.parts, self.bits = (mix(shingles, salt) for salt in (12, 14, 17))
+
+
+def signatures(of: Mixed, level: int, percent: int) -> np.ndarray:
+    """Hashes of which a set has one in common with every linked set whose larger one is of this level."""
     most = differing(level, percent)
+    if most > MOST_PARTS:
+        return bands(of.shingles, percent)
     salt = mix(np.uint64([level]), 11)[0]
-    mixed = mix(shingles, 12)
+    mixed = of.mixed
     if most == 0:
         return np.zeros(0, dtype=np.uint64)
     if most == 1:  # the set, and the set without each of its members
         return mix(np.append(mixed.sum() - mixed, mixed.sum()) ^ salt, 13)
     parts, spare = parts_of(level, percent)
-    part = (mix(shingles, 14) % np.uint64(parts)).astype(np.int64)
+    part = (of.parts % np.uint64(parts)).astype(np.int64)
     sums = np.zeros(parts, dtype=np.uint64)
     np.add.at(sums, part, mixed)
     empty = np.bincount(part, minlength=parts) == 0
@@ -145,10 +188,18 @@ def signatures(shingles: np.ndarray, level: int, percent: int) -> np.ndarray:
     return found[~empty] if empty.sum() <= spare else found
 
 
-def bitmap(shingles: np.ndarray, level: int, percent: int) -> bytes:
+def both_signatures(of: Mixed, level: int, percent: int) -> np.ndarray:
+    """Signatures for a set's own level and the next, where a larger linked set can be."""
+    own = signatures(of, level, percent)
+    if differing(level, percent) > MOST_PARTS:  # bands are the same for all levels
+        return own
+    return np.concatenate([own, signatures(of, level + 1, percent)])
+
+
+def bitmap(of: Mixed, level: int, percent: int) -> bytes:
     """Parities of the numbers of shingles that hash to each bit; the size follows from the level."""
     bits = 1 << max(8, (8 * differing(level, percent)).bit_length())
-    at = (mix(shingles, 17) % np.uint64(bits)).astype(np.int64)
+    at = (of.bits % np.uint64(bits)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
@@ -164,9 +215,10 @@ def describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
                         out.append((0, 0, 0, None, None, None, None))
                         continue
                     level = level_of(len(s), percent)
-                    found = np.concatenate([signatures(s, k, percent) for k in (level, level + 1)])
+                    of = Mixed(s)
+                    found = both_signatures(of, level, percent)
                     h1, h2 = mix(s, 18).sum().view(np.int64), mix(s, 19).sum().view(np.int64)
-                    own, after = (bitmap(s, k, percent) for k in (level, level + 1))
+                    own, after = (bitmap(of, k, percent) for k in (level, level + 1))
                     out.append((len(s), int(h1), int(h2), level, found.view(np.int64), own, after))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary())
                 columns = [pa.array(list(c), t) for c, t in zip(zip(*out), kinds, strict=True)]
@@ -186,26 +238,55 @@ def candidates(classes: DataFrame) -> DataFrame:
     )
 
 
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """Bloom filter, of at most `FILTER_WORDS` words of 64 bits, of the column `rep`.
+
+    Two bits an id. It only spares documents the shuffle: when it is too small
+    for the ids, more documents pass, and the join still decides.
+    """
+    n = ids.count()
+    words = min(FILTER_WORDS, 1 << max(6, (n // 4).bit_length()))
+    at = [F.xxhash64(F.lit(k), "rep").bitwiseAND(words * 64 - 1) for k in range(2)]
+    bits = ids.select(F.explode(F.array(*at)).alias("at")).select(
+        F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit")
+    )
+    found = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()  # at most `words` rows
+    table = np.zeros(words, dtype=np.int64)
+    for row in found:
+        table[row["word"]] = row["bits"]
+    return table.view(np.uint64)
+
+
 def shingle_table(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """(cid, shingles: sorted uint64) of the given classes (cid, h1, h2, rep), from one text each."""
+    """(cid, shingles: sorted uint64) of the given classes (cid, h1, h2, rep), from one text each.
+
+    Texts are not shuffled: a filter of the ids decides which become shingles.
+    """
+    table = id_filter(classes.select("rep"))
 
     def rows(batches):
+        mask = np.uint64(len(table) * 64 - 1)
         for whole in batches:
-            for batch in slices(whole, "text"):
-                same, out = [], []
-                hashes = zip(batch.column("h1").to_pylist(), batch.column("h2").to_pylist(), strict=True)
-                for k, (s, (h1, h2)) in enumerate(zip(shingle_sets(batch.column("text"), width), hashes, strict=True)):
-                    if int(mix(s, 18).sum().view(np.int64)) == h1 and int(mix(s, 19).sum().view(np.int64)) == h2:
-                        same.append(k)  # rows that repeat an id can have other texts
-                        out.append(s.tobytes())
+            hashes = [whole.column(c).to_numpy().view(np.uint64) & mask for c in ("hash0", "hash1")]
+            passed = np.ones(whole.num_rows, dtype=bool)
+            for h in hashes:
+                passed &= (table[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
+            for batch in slices(whole.filter(pa.array(passed)), "text"):
+                out = list(shingle_sets(batch.column("text"), width))
+                set_hashes = [[int(mix(s, k).sum().view(np.int64)) for s in out] for k in (18, 19)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("cid").take(pa.array(same, pa.int64())), pa.array(out, pa.binary())], names=["cid", "shingles"]
+                    [batch.column("rep"), *[pa.array(h, pa.int64()) for h in set_hashes], pa.array([s.tobytes() for s in out], pa.binary())],
+                    names=["rep", "h1", "h2", "shingles"],
                 )
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.col("text").cast("string"))
-    wanted = classes.select("cid", "h1", "h2", "rep")
-    found = texts.join(wanted, "rep").select("cid", "h1", "h2", "text").mapInArrow(rows, "cid bigint, shingles binary")
-    return found.dropDuplicates(["cid"])
+    rep = F.col("doc_id").cast("bigint")
+    texts = docs.where("doc_id IS NOT NULL").select(
+        rep.alias("rep"), F.col("text").cast("string"), *[F.xxhash64(F.lit(k), rep).alias(f"hash{k}") for k in range(2)]
+    )
+    found = texts.mapInArrow(rows, "rep bigint, h1 bigint, h2 bigint, shingles binary")
+    # Rows that repeat an id can have other texts, so the set hashes count too.
+    joined = found.join(classes.select("cid", "h1", "h2", "rep"), ["rep", "h1", "h2"])
+    return joined.select("cid", "shingles").dropDuplicates(["cid"])
 
 
 def verify(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
@@ -227,39 +308,72 @@ def verify(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(rows, "a bigint, b bigint, linked boolean")
 
 
-def likely_pairs(percent: int):
-    """For the members of two tiles: pairs that may be linked, one between any two pieces."""
-
-    def compare(table: pd.DataFrame) -> pd.DataFrame:
-        pairs: list[tuple[int, int]] = []
-        piece = table["label"].to_numpy().copy()
-        node, size, level, side = (table[c].to_numpy() for c in ("node", "n_shingles", "level", "side"))
-        refused = [frozenset(r) if r is not None else frozenset() for r in table["refused"]]
-        where = {k: np.flatnonzero(level == k) for k in np.unique(level)}
-        for k, rows in where.items():
-            for other, column in ((k, "own"), (k + 1, "next")):
-                if other not in where:
-                    continue
-                against = where[other]
-                bits = np.stack([np.frombuffer(x, np.uint64) for x in table["own"].to_numpy()[against]])
-                for row in rows.tolist():
-                    mine = np.frombuffer(table[column].iat[row], np.uint64)
-                    apart = np.bitwise_count(bits ^ mine).sum(axis=1, dtype=np.int64)
-                    total = size[against] + size[row]
-                    small, large = np.minimum(size[against], size[row]), np.maximum(size[against], size[row])
-                    fit = (apart * (100 + percent) <= total * (100 - percent)) & (100 * small >= percent * large)
-                    fit &= (side[against] != side[row]) | (side[against] == 2)
-                    for hit in against[fit & (piece[against] != piece[row])].tolist():
-                        if piece[hit] != piece[row] and node[hit] not in refused[row]:
-                            pairs.append((max(node[row], node[hit]), min(node[row], node[hit])))
-                            piece[piece == piece[hit]] = piece[row]
-        return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
-
-    return compare
+def compare_members(rows: dict[str, np.ndarray], percent: int, most: int) -> list[tuple[int, int]]:
+    """For the members of two tiles: pairs that may be linked, `most` between any two pieces."""
+    pairs: list[tuple[int, int]] = []
+    between: Counter[tuple[int, int]] = Counter()
+    piece = rows["label"].copy()
+    node, size, level, side = (rows[c] for c in ("node", "n_shingles", "level", "side"))
+    refused = [frozenset(r) if r is not None else frozenset() for r in rows["refused"]]
+    where = {int(k): np.flatnonzero(level == k) for k in np.unique(level)}
+    for k, mine in where.items():
+        for other, column in ((k, "own"), (k + 1, "next")):
+            if other not in where:
+                continue
+            against = where[other]
+            bits = np.stack([np.frombuffer(x, np.uint64) for x in rows["own"][against]])
+            for row in mine.tolist():
+                apart = np.bitwise_count(bits ^ np.frombuffer(rows[column][row], np.uint64)).sum(axis=1, dtype=np.int64)
+                total = size[against] + size[row]
+                small = np.minimum(size[against], size[row])
+                fit = (apart * (100 + percent) <= total * (100 - percent)) & (100 * small >= percent * (total - small))
+                fit &= (side[against] != side[row]) | (side[against] == 2)
+                fit &= piece[against] != piece[row]
+                for hit in against[fit].tolist():
+                    if piece[hit] != piece[row] and node[hit] not in refused[row]:
+                        pairs.append((max(node[row], node[hit]), min(node[row], node[hit])))
+                        of = (min(piece[row], piece[hit]), max(piece[row], piece[hit]))
+                        between[of] += 1
+                        if between[of] == most:
+                            piece[piece == of[1]] = of[0]
+    return pairs
+
+
+TILE_KEY = ("comp", "low", "i", "high", "j")
+MEMBER = ("side", "node", "label", "level", "n_shingles", "own", "next", "refused")
+
+
+def likely_pairs(dealt: DataFrame, percent: int, most: int) -> DataFrame:
+    """Pairs (a, b) of each tile. A partition is sorted by tile, and read with one tile in memory at a time."""
+
+    def compare(batches):
+        key, held = None, {c: [] for c in MEMBER}
+
+        def pairs():
+            rows = {c: np.array(held[c], dtype=object if c in ("own", "next", "refused") else np.int64) for c in MEMBER[:-1]}
+            rows["refused"] = held["refused"]
+            found = np.array(compare_members(rows, percent, most), dtype=np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in TILE_KEY), strict=True))
+            columns = {c: batch.column(c).to_pylist() for c in MEMBER}
+            cuts = [0, *[k for k in range(1, len(keys)) if keys[k] != keys[k - 1]], len(keys)]
+            for start, end in zip(cuts, cuts[1:]):
+                if keys and keys[start] != key:
+                    if key is not None:
+                        yield pairs()
+                    key, held = keys[start], {c: [] for c in MEMBER}
+                for c in MEMBER:
+                    held[c] += columns[c][start:end]
+        if key is not None:
+            yield pairs()
+
+    return dealt.mapInArrow(compare, LINKS)
 
 
 def tiles(members: DataFrame) -> DataFrame:
-    """Members with `tile`, once for each pair of tiles they are in, and `side` (2: compare with all).
+    """Members with `TILE_KEY`, once for each pair of tiles they are in, and `side` (2: compare with all).
 
     `members`: (comp, node, label, level, ...). Counts per component and level
     decide; they are joined by component, never gathered.
@@ -298,13 +412,14 @@ def tiles(members: DataFrame) -> DataFrame:
     every = F.when(F.col("total") <= ONE_TILE, whole).otherwise(F.concat(same, above, below))
     spread = known.withColumn("pair", F.explode(every))
     return spread.select(
-        F.struct("comp", "pair.low", "pair.i", "pair.high", "pair.j").alias("tile"), "pair.side",
+        "comp", "pair.low", "pair.i", "pair.high", "pair.j", "pair.side",
         "node", "label", "level", "n_shingles", "own", "next", "refused",
     )
 
 
 def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b): links that join the same classes as all links do. `classes` has been written."""
+    spark = docs.sparkSession
     candidate = materialize(candidates(classes), "candidates")
     comps = materialize(connected_components(candidate.select("a", "b")), "components")
     facts = classes.join(comps.withColumnRenamed("node", "cid"), "cid").withColumnRenamed("label", "comp")
@@ -313,6 +428,7 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Data
     nearest = candidate.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
     judged = materialize(verify(nearest, shingles, percent), "judged")
     found, refused = judged.where("linked").select("a", "b"), judged.where("NOT linked").select("a", "b")
+    most = 1
     while True:
         labels = connected_components(found)
         members = facts.withColumnRenamed("cid", "node").join(labels, "node", "left")
@@ -322,9 +438,9 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Data
         both = refused.unionByName(refused.select(F.col("b").alias("a"), F.col("a").alias("b")))
         no = both.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("refused"))
         members = materialize(members.join(open_comps, "comp", "left_semi").join(no, "node", "left"), "members")
-        compared = tiles(members).groupBy("tile").applyInPandas(
-            lambda table: compare_tile(table, percent), LINKS
-        )
+        dealt = tiles(members).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *TILE_KEY)
+        compared = likely_pairs(dealt.sortWithinPartitions(*TILE_KEY), percent, most)
+        most *= 4
         pairs = materialize(compared.distinct(), "pairs")
         if pairs.isEmpty():
             return found
@@ -333,10 +449,6 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Data
         refused = materialize(refused.unionByName(judged.where("NOT linked").select("a", "b")), "refused")
 
 
-def compare_tile(table: pd.DataFrame, percent: int) -> pd.DataFrame:
-    return likely_pairs(percent)(table)
-
-
 def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of `docs`.
 

@@ -121,7 +121,7 @@ def test_linked_sets_share_a_signature():
                 b = np.unique(np.append(draw.permutation(a)[:both], draw.integers(0, 2**63, other - both).astype(np.uint64)))
                 la, lb = (ngram_join.level_of(len(x), percent) for x in (a, b))
                 assert abs(la - lb) <= 1
-                sa, sb = (set(ngram_join.both_signatures(x, lv, percent).tolist()) for x, lv in ((a, la), (b, lb)))
+                sa, sb = (set(ngram_join.both_signatures(ngram_join.Mixed(x), lv, percent).tolist()) for x, lv in ((a, la), (b, lb)))
                 assert sa & sb or set(a) == set(b), (percent, size, other)
 
 
