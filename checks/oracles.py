@@ -270,6 +270,13 @@ PART_ROWS = """SELECT 'https://jobs.example.com/p/' || p_partkey AS url, p_type
   '' AS description, {location} AS location, {model} AS work_model, p_size || 'd' AS posted_date,
   p_brand || '/' || (p_partkey // 500) AS source FROM part"""
 
+LANDED = f"""lever AS (SELECT *, ((supp * 1048576 + ord // 500) % 10 = 3) AS broken FROM postings WHERE line % 3 = 1),
+landed AS (
+  SELECT 'Greenhouse' AS kind, count(*) AS n FROM postings WHERE line % 3 = 0
+  UNION ALL SELECT 'Lever', count(*) FROM lever WHERE NOT broken AND ({INTERN.format(LEVER_TEXT)} OR work_model <> '')
+  UNION ALL SELECT 'Adzuna', count(*) FROM postings WHERE line % 3 = 2
+  UNION ALL SELECT p_brand, 2 * count(*) FROM part GROUP BY p_brand)"""
+
 ORACLES = {
     "normalize_page_url": f"SELECT page_id, {url_key('url')} AS normalized_url FROM pages",
     "normalize_posting_url": with_(POSTINGS) + f"SELECT seq, {url_key('url')} AS normalized_url FROM postings",
@@ -452,14 +459,12 @@ SELECT job_url, pass_no, status, attempts, array_to_string(ids, ',') AS ids FROM
     + ") WHERE source LIKE '%0' UNION ALL SELECT * FROM ("
     + PART_ROWS.format(company="p_name || ' & Sons'", location="'Reno,' || chr(160) || 'NV'", model="''")
     + ") WHERE source NOT LIKE '%0'",
-    "read_landed": with_(
-        POSTINGS,
-        "lever AS (SELECT *, ((supp * 1048576 + ord // 500) % 10 = 3) AS broken FROM postings WHERE line % 3 = 1)",
-    )
-    + f"""SELECT 'Greenhouse' AS kind, count(*) AS n FROM postings WHERE line % 3 = 0
-UNION ALL SELECT 'Lever', count(*) FROM lever WHERE NOT broken AND ({INTERN.format(LEVER_TEXT)} OR work_model <> '')
+    "read_landed": with_(POSTINGS, LANDED)
+    + """SELECT * FROM landed
 UNION ALL SELECT 'rejected lever', count(DISTINCT (supp, ord // 500)) FROM lever WHERE broken HAVING count(*) > 0
-UNION ALL SELECT p_brand, count(*) FROM part GROUP BY p_brand""",
+UNION ALL SELECT 'different seq', sum(n)::BIGINT FROM landed""",
+    "daily_run_landed": with_(POSTINGS, LANDED)
+    + "SELECT 'ok' AS status, sum(n)::BIGINT AS fetched, 0::BIGINT AS errors, true AS consistent FROM landed",
     "stream_first_seen": with_(POSTINGS, KEYED, FIRST_SEEN_BATCH)
     + "SELECT * FROM s1 UNION ALL SELECT * FROM n2",
     "daily_run": with_(

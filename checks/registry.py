@@ -520,19 +520,28 @@ def read_readmes(spark, sf):
     return readme_tables.read_readmes(docs, catalog).select(*TEXT_COLUMNS)
 
 
-@query
-def read_landed(spark, sf):
-    """All kinds landed as files and read together, with broken bodies among
-    them; postings per source kind."""
+def land_all(spark, sf):
+    """All five kinds landed as files, with broken bodies among them."""
     folder = new_folder(spark, "landed")
     posts = views.feed(spark, sf)
     broken = F.when(F.col("doc_ord") % 10 == 3, F.concat(F.lit("{"), F.col("body"))).otherwise(F.col("body"))
     views.greenhouse_raw(posts).write.parquet(f"{folder}/greenhouse")
     views.lever_raw(posts).withColumn("body", broken).write.parquet(f"{folder}/lever")
+    views.adzuna_raw(posts).write.parquet(f"{folder}/adzuna")
     views.readme_docs(spark, sf, True).write.parquet(f"{folder}/markdown")
-    got = union.read_landed(spark, folder).groupBy(F.split("source", "/")[0].alias("kind"))
+    views.readme_docs(spark, sf, False).write.parquet(f"{folder}/html")
+    return folder
+
+
+@query
+def read_landed(spark, sf):
+    """All kinds read together; postings per source kind, rejects, and different `seq`."""
+    folder = land_all(spark, sf)
+    got = materialize(union.read_landed(spark, folder).select("seq", F.split("source", "/")[0].alias("kind")), "read")
     lost = union.read_rejects(spark, folder).groupBy(F.concat(F.lit("rejected "), F.col("kind")).alias("kind"))
-    return got.agg(F.count("*").alias("n")).unionByName(lost.agg(F.count("*").alias("n")))
+    unique = got.agg(F.count_distinct("seq").alias("n")).select(F.lit("different seq").alias("kind"), "n")
+    counted = got.groupBy("kind").agg(F.count("*").alias("n"))
+    return counted.unionByName(lost.agg(F.count("*").alias("n"))).unionByName(unique)
 
 
 # --- whole runs -----------------------------------------------------------------------------
@@ -562,3 +571,20 @@ def daily_run(spark, sf):
     target = store.Store.create(spark, new_folder(spark, "store"))
     daily.run_batch(target, views.postings(spark, sf), send)
     return target.runs().select("id", "status", *ledger.COUNTERS)
+
+
+@query
+def daily_run_landed(spark, sf):
+    """A first full run over everything landed: nothing gained, nothing lost."""
+
+    def send(cards):
+        return cards.select(
+            F.col("url").alias("job_url"), "major", "rank", "channel_id", F.lit(True).alias("ok"), F.current_timestamp().alias("ts")
+        )
+
+    target = store.Store.create(spark, new_folder(spark, "store"))
+    daily.run_batch(target, union.read_landed(spark, land_all(spark, sf)), send)
+    kept = F.col("fetched") - F.col("deduped")
+    return target.runs().select(
+        "status", "fetched", "errors", ((F.col("deduped") > 0) & (F.col("new_jobs") <= kept) & (F.col("posted") > 0)).alias("consistent")
+    )
