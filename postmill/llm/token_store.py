@@ -110,20 +110,31 @@ class WordCoder:
         """Ids of all words, concatenated, and their numbers."""
         if len(self.place) > KNOWN_UNITS:
             self.forget()
+        found = list(map(self.place.get, words))
+        if None in found:
+            self._learn([w for w, k in zip(words, found, strict=True) if k is None])
+            found = list(map(self.place.__getitem__, words))
+        return self._gather(np.array(found, dtype=np.int64))
+
+    def _gather(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        counts = self.sizes[entries]
+        return self.pool[_ragged((np.cumsum(self.sizes) - self.sizes)[entries], counts)], counts
+
+    def _add(self, names: list[str], ids: list[np.ndarray], sizes: list[np.ndarray]) -> None:
+        first = len(self.place)
+        self.place.update(zip(names, range(first, first + len(names)), strict=True))
+        self.pool, self.sizes = np.concatenate([self.pool, *ids]), np.concatenate([self.sizes, *sizes])
+
+    def _learn(self, words: list[str]) -> None:
+        """Add words that are not known: those of letters, other ones, then those of both."""
         cores = [w.rstrip(PUNCTUATION) for w in words]
         # Letters must stay letters in lower case, else a mark can join the punctuation.
-        units = [(c, w[len(c) :]) if c.isalpha() and c.lower().isalpha() else (w, "") for w, c in zip(words, cores, strict=True)]
-        self._learn(dict.fromkeys(u for pair in units for u in pair))
-        place = self.place
-        parts = np.fromiter((place[u] for pair in units for u in pair), np.int64, 2 * len(units))
-        counts = self.sizes[parts]
-        return self.pool[_ragged((np.cumsum(self.sizes) - self.sizes)[parts], counts)], counts.reshape(-1, 2).sum(axis=1)
-
-    def _learn(self, units) -> None:
-        new = [u for u in units if u not in self.place]
-        letters = [u for u in new if u.isalpha()]
-        ids, sizes, order = [self.pool], [self.sizes], []
-        alone = [u for u in new if not u.isalpha()]
+        plain = [c.isalpha() and c.lower().isalpha() for c in cores]
+        mixed = [(w, c) for w, c, good in zip(words, cores, plain, strict=True) if good and len(c) < len(w)]
+        letters = list(dict.fromkeys(c for c, good in zip(cores, plain, strict=True) if good and c not in self.place))
+        alone = dict.fromkeys(w for w, good in zip(words, plain, strict=True) if not good)
+        alone.update(dict.fromkeys(t for w, c in mixed if (t := w[len(c) :]) not in self.place))
+        others, order, ids, sizes = list(alone), [], [], []
         groups = [letters[k : k + self.together] for k in range(0, len(letters), self.together)]
         for group, found in zip(groups, self._encoded(map(" ".join, groups), 8), strict=True):
             last = np.flatnonzero(self.ends[found])
@@ -132,15 +143,12 @@ class WordCoder:
                 sizes.append(np.diff(last, prepend=-1))
                 order += group
             else:
-                alone += group
-        found = list(self._encoded(iter(alone), 2048))
-        ids += found
-        sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
-        order += alone
-        first = len(self.place)
-        self.place.update((u, first + k) for k, u in enumerate(order))
-        self.pool, self.sizes = np.concatenate(ids), np.concatenate(sizes)
-
+                others += group
+        found = list(self._encoded(iter(others), 2048))
+        self._add(order + others, ids + found, [*sizes, np.fromiter(map(len, found), np.int64, len(found))])
+        halves = [self.place[part] for w, c in mixed for part in (c, w[len(c) :])]
+        joined, counts = self._gather(np.array(halves, dtype=np.int64))
+        self._add([w for w, _ in mixed], [joined], [counts.reshape(-1, 2).sum(axis=1)])
 
     def _encoded(self, texts, at_once: int):
         """Ids of each text; the library's encodings are large, so few are held at a time."""
