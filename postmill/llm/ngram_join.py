@@ -16,7 +16,7 @@
    size level. A task compares two tiles by bitmaps: each shingle flips one bit,
    so the set bits of two bitmaps' XOR are at most the shingles in just one of
    the sets, which bounds the overlap from above. Of the pairs that pass, one
-   between any two pieces is intersected exactly by sorted arrays, then four
+   between any two pieces is intersected exactly by sorted arrays, then sixteen
    times as many, and so on, until no pair passes that isn't known to fail.
 
 No pair is lost, but for that chance: a pair that is not compared lies in one piece
@@ -417,8 +417,8 @@ def tiles(members: DataFrame) -> DataFrame:
     )
 
 
-def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b): links that join the same classes as all links do. `classes` has been written."""
+def linked_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, label) of the classes that are linked with others. `classes` has been written."""
     spark = docs.sparkSession
     candidate = materialize(candidates(classes), "candidates")
     comps = materialize(connected_components(candidate.select("a", "b")), "components")
@@ -440,10 +440,10 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Data
         members = materialize(members.join(open_comps, "comp", "left_semi").join(no, "node", "left"), "members")
         dealt = tiles(members).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *TILE_KEY)
         compared = likely_pairs(dealt.sortWithinPartitions(*TILE_KEY), percent, most)
-        most *= 4
+        most *= 16
         pairs = materialize(compared.distinct(), "pairs")
         if pairs.isEmpty():
-            return found
+            return labels
         judged = materialize(verify(pairs, shingles, percent), "judged")
         found = materialize(found.unionByName(judged.where("linked").select("a", "b")), "found")
         refused = materialize(refused.unionByName(judged.where("NOT linked").select("a", "b")), "refused")
@@ -462,7 +462,7 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         F.monotonically_increasing_id().alias("cid"), "h1", "h2", "n_shingles", "rep", "of.level", "of.signatures", "of.own", "of.next"
     )
     classes = materialize(classes, "classes")
-    labels = connected_components(links(docs, classes, width, percent)).withColumnRenamed("node", "cid")
+    labels = linked_classes(docs, classes, width, percent).withColumnRenamed("node", "cid")
     joined = classes.select("cid", "h1", "h2", "n_shingles", "rep").join(labels, "cid")
     least = joined.groupBy("label").agg(F.min("rep").alias("component"))
     linked = joined.join(least, "label").select("h1", "h2", "n_shingles", "component")
