@@ -49,8 +49,9 @@ from postmill.session import materialize
 #: Members of a component up to which it is one tile, and of a tile of a larger one.
 ONE_TILE = 512
 TILE = 2048
-#: A larger component's level is dealt into at least this many tiles, of 64 members or more.
-SPREAD = 32
+#: A larger component's level is dealt into at least this many tiles, of 256 members or more.
+#: Each member goes to as many tasks as there are tiles in its level and the two beside it.
+SPREAD = 8
 #: Words of the filter of ids: 2 MB, enough for some millions of candidates.
 FILTER_WORDS = 1 << 18
 #: Differing shingles up to which linked sets are found by equal parts, without fail.
@@ -387,7 +388,7 @@ def tiles(members: DataFrame) -> DataFrame:
 
     def dealt(level):
         n = F.coalesce(F.try_element_at("by_level", level), F.lit(0))
-        spread = F.least(F.lit(SPREAD), F.ceil(n / 64))
+        spread = F.least(F.lit(SPREAD), F.ceil(n / 256))
         return F.greatest(spread, F.ceil(n / TILE)).cast("int")
 
     def numbers(count):
