@@ -26,14 +26,15 @@ from postmill.llm.text import plain_words, slices
 
 #: Phrases that are reported wherever their words stand together.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Label stem -> (keyword, how the name is written, versions). Fixed values.
+#: Label stem -> (keywords, how the name is written, versions). Fixed values.
+#: Every way to write the name has one of the keywords, as whole words.
 FAMILIES = {
-    "mit": ("mit", "mit(?: x11)?|expat|x11", ()),
+    "mit": ("mit|expat|x11", "mit(?: x11)?|expat|x11", ()),
     "apache": ("apache", "apache(?: software)?", ("1.0", "1.1", "2.0")),
     "gpl": ("gpl|general public", "gnu gpl|gpl|gnu general public|general public", ("1.0", "2.0", "3.0")),
     "lgpl": ("lgpl|lesser general|library general", "gnu lgpl|lgpl|gnu lesser general public|lesser general public|library general public", ("2.0", "2.1", "3.0")),
     "agpl": ("agpl|affero", "gnu agpl|agpl|gnu affero general public|affero general public", ("1.0", "3.0")),
-    "bsd": ("bsd", "bsd|berkeley software distribution", ("1", "2", "3", "4")),
+    "bsd": ("bsd|berkeley software", "bsd|berkeley software distribution", ("1", "2", "3", "4")),
     "mpl": ("mpl|mozilla", "mpl|mozilla public", ("1.0", "1.1", "2.0")),
     "epl": ("epl|eclipse", "epl|eclipse public", ("1.0", "2.0")),
     "eupl": ("eupl|european union", "eupl|european union public", ("1.0", "1.1", "1.2")),
@@ -41,14 +42,14 @@ FAMILIES = {
     "artistic": ("artistic", "(?:perl )?artistic", ("1.0", "2.0")),
     "osl": ("osl|open software", "osl|open software", ("1.0", "2.0", "2.1", "3.0")),
     "afl": ("afl|academic free", "afl|academic free", ("1.1", "1.2", "2.0", "2.1", "3.0")),
-    "gfdl": ("gfdl|free documentation", "gnu fdl|gfdl|gnu free documentation|free documentation", ("1.1", "1.2", "1.3")),
+    "gfdl": ("gnu fdl|gfdl|free documentation", "gnu fdl|gfdl|gnu free documentation|free documentation", ("1.1", "1.2", "1.3")),
     "zlib": ("zlib", "zlib(?: libpng)?", ()),
-    "isc": ("isc", "isc|internet systems consortium", ()),
+    "isc": ("isc|internet systems", "isc|internet systems consortium", ()),
     "boost": ("bsl|boost", "bsl|boost software", ("1.0",)),
     "unlicense": ("unlicense", "unlicense", ()),
     "wtfpl": ("wtfpl", "wtfpl", ("1.0", "2.0")),
     "cecill": ("cecill", "cecill", ("1.0", "1.1", "2.0", "2.1")),
-    "python": ("python", "python software foundation|psf", ("2.0",)),
+    "python": ("python software|psf", "python software foundation|psf", ("2.0",)),
     "openssl": ("openssl", "openssl", ()),
     "postgresql": ("postgresql", "postgresql", ()),
     "ofl": ("ofl|open font", "sil ofl|ofl|sil open font|open font", ("1.0", "1.1")),
@@ -64,21 +65,21 @@ CLAUSES = {
     "by-nc-nd": "by nc nd|attribution non ?commercial no ?deriv(?:ative)?s(?: works)?",
 }
 CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
-#: Sentences of license texts: label -> (keyword, wording).
+#: Sentences of license texts: label -> (keyword, which is part of the wording, wording).
 SENTENCES = {
     "mit": ("free of charge to any", "permission is hereby granted free of charge to any person obtaining a copy"),
     "isc": ("with or without fee", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee"),
     "bsd": ("source and binary forms", "redistribution and use in source and binary forms with or without modification"),
     "zlib": ("as is without any express", "this software is provided as is without any express or implied warranty"),
     "unlicense": ("into the public domain", "free and unencumbered software released into the public domain"),
-    "boost": ("boost software", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
-    "gpl": ("free software foundation", "free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    "boost": ("person or organization", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
+    "gpl": ("redistribute it", "free software you can redistribute it and or modify it under the terms of the gnu general public license"),
 }
 
 
 @dataclass(frozen=True)
 class Rule:
-    """`weight`: how sure a match makes of the label, 0 to 1."""
+    """`weight`: how sure a match makes of the label, 0 to 1. Each possible match has one of the keywords as whole words."""
 
     label: str
     pattern: str
@@ -95,11 +96,12 @@ def rules() -> list[Rule]:
         for version in versions:
             major, _, minor = version.partition(".")
             number = f"(?:version |v ?)?{major}" + (f" {minor}" if minor not in ("", "0") else "(?: 0)?")
-            clause = f"|{major} clauses?(?: {name})?" if stem == "bsd" else ""
+            clause = f"|{major} clauses?(?: (?:{name}))?" if stem == "bsd" else ""
+            clauses = ("clause", "clauses") if clause else ()
             label = f"{stem}-{version}" + ("-clause" if stem == "bsd" else "")
             made += [
                 Rule(label, f"spdx license identifier (?:{name}) {number}(?: clause)?(?: only| or later)?", keywords, 4, 0.99),
-                Rule(label, f"(?:(?:{name})(?: licen[cs]e)? {number}(?: clause)?{clause})(?: licen[cs]e)", keywords, 3, 0.9),
+                Rule(label, f"(?:(?:{name})(?: licen[cs]e)? {number}(?: clause)?{clause})(?: licen[cs]e)", keywords + clauses, 3, 0.9),
                 Rule(label, f"(?:{name}) licen[cs]e (?:version |v ?){number}(?: or (?:any )?later)?", keywords, 3, 0.9),
                 Rule(label, f"licen[cs]ed under (?:the )?(?:terms of (?:the )?)?(?:{name})(?: licen[cs]e)? {number}", keywords, 3, 0.9),
             ]
@@ -113,9 +115,9 @@ def rules() -> list[Rule]:
         for version in CC_VERSIONS:
             number = version.replace(".", " ")
             made += [
-                Rule(f"cc-{clause}-{version}", f"(?:cc|creative commons) (?:{written}) {number}", ("cc by", "creative commons"), 4, 0.95),
+                Rule(f"cc-{clause}-{version}", f"(?:cc|creative commons) (?:{written}) {number}", ("cc by", "cc attribution", "creative commons"), 4, 0.95),
             ]
-        made.append(Rule(f"cc-{clause}", f"(?:cc|creative commons) (?:{written})", ("cc by", "creative commons"), 1, 0.7))
+        made.append(Rule(f"cc-{clause}", f"(?:cc|creative commons) (?:{written})", ("cc by", "cc attribution", "creative commons"), 1, 0.7))
     made.append(Rule("cc0", "cc0|creative commons zero", ("cc0", "creative commons"), 4, 0.9))
     return sorted(made, key=lambda r: -r.priority)
 
