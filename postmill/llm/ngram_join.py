@@ -32,14 +32,15 @@ an empty table gives no rows; other columns are ignored.
 """
 
 import math
+import operator
 from collections import Counter
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.llm.text import slices
@@ -58,6 +59,8 @@ FILTER_WORDS = 1 << 18
 MOST_PARTS = 64
 #: Chance that two larger linked sets have no band in common.
 MISSED = 1e-16
+#: Sets without id that a task remembers, so that it passes on few copies of each.
+HELD = 100_000
 SETS = (
     "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, level int, signatures array<bigint>,"
     " own binary, next binary"
@@ -204,6 +207,18 @@ def bitmap(of: Mixed, level: int, percent: int) -> bytes:
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
+def set_hashes(shingles: np.ndarray) -> tuple[int, int]:
+    """Two hashes that, with its size, stand for a set."""
+    h1, h2 = (mix(shingles, k).sum().view(np.int64) for k in (18, 19))
+    return int(h1), int(h2)
+
+
+def same_set(a: str, b: str) -> Column:
+    """Join condition: equal sets and equal `rep`, which can be null."""
+    sets = [F.col(f"{a}.{c}") == F.col(f"{b}.{c}") for c in ("h1", "h2", "n_shingles")]
+    return reduce(operator.and_, sets, F.col(f"{a}.rep").eqNullSafe(F.col(f"{b}.rep")))
+
+
 def describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Per row: set size, set hash, level, signatures, bitmaps for its level and the next."""
 
@@ -218,9 +233,9 @@ def describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     level = level_of(len(s), percent)
                     of = Mixed(s)
                     found = both_signatures(of, level, percent)
-                    h1, h2 = mix(s, 18).sum().view(np.int64), mix(s, 19).sum().view(np.int64)
+                    h1, h2 = set_hashes(s)
                     own, after = (bitmap(of, k, percent) for k in (level, level + 1))
-                    out.append((len(s), int(h1), int(h2), level, found.view(np.int64), own, after))
+                    out.append((len(s), h1, h2, level, found.view(np.int64), own, after))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary())
                 columns = [pa.array(list(c), t) for c, t in zip(zip(*out), kinds, strict=True)]
                 names = ["doc_id", "n_shingles", "h1", "h2", "level", "signatures", "own", "next"]
@@ -259,35 +274,45 @@ def id_filter(ids: DataFrame) -> np.ndarray:
 
 
 def shingle_table(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """(cid, shingles: sorted uint64) of the given classes (cid, h1, h2, rep), from one text each.
+    """(cid, shingles: sorted uint64) of the given classes (cid, h1, h2, n_shingles, rep), from one text each.
 
-    Texts are not shuffled: a filter of the ids decides which become shingles.
+    Texts are not shuffled: a filter of the ids decides which become shingles. The
+    null id is in the filter if a class has no other; of copies without id a task
+    passes on one of `HELD` in a row.
     """
     table = id_filter(classes.select("rep"))
 
     def rows(batches):
         mask = np.uint64(len(table) * 64 - 1)
+        held: set[tuple[int, int]] = set()
         for whole in batches:
             hashes = [whole.column(c).to_numpy().view(np.uint64) & mask for c in ("hash0", "hash1")]
             passed = np.ones(whole.num_rows, dtype=bool)
             for h in hashes:
                 passed &= (table[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
             for batch in slices(whole.filter(pa.array(passed)), "text"):
-                out = list(shingle_sets(batch.column("text"), width))
-                set_hashes = [[int(mix(s, k).sum().view(np.int64)) for s in out] for k in (18, 19)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("rep"), *[pa.array(h, pa.int64()) for h in set_hashes], pa.array([s.tobytes() for s in out], pa.binary())],
-                    names=["rep", "h1", "h2", "shingles"],
-                )
-
+                out = []
+                for rep, s in zip(batch.column("rep").to_pylist(), shingle_sets(batch.column("text"), width), strict=True):
+                    h1, h2 = set_hashes(s)
+                    if rep is None:
+                        if (h1, h2) in held:
+                            continue
+                        if len(held) == HELD:
+                            held.clear()
+                        held.add((h1, h2))
+                    out.append((rep, h1, h2, len(s), s.tobytes()))
+                columns = [pa.array([row[k] for row in out], field.type) for k, field in enumerate(schema)]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    schema = pa.schema({"rep": pa.int64(), "h1": pa.int64(), "h2": pa.int64(), "n_shingles": pa.int64(), "shingles": pa.binary()})
     rep = F.col("doc_id").cast("bigint")
-    texts = docs.where("doc_id IS NOT NULL").select(
+    texts = docs.select(
         rep.alias("rep"), F.col("text").cast("string"), *[F.xxhash64(F.lit(k), rep).alias(f"hash{k}") for k in range(2)]
     )
-    found = texts.mapInArrow(rows, "rep bigint, h1 bigint, h2 bigint, shingles binary")
-    # Rows that repeat an id can have other texts, so the set hashes count too.
-    joined = found.join(classes.select("cid", "h1", "h2", "rep"), ["rep", "h1", "h2"])
-    return joined.select("cid", "shingles").dropDuplicates(["cid"])
+    found = texts.mapInArrow(rows, "rep bigint, h1 bigint, h2 bigint, n_shingles bigint, shingles binary")
+    # Rows that repeat an id, or have none, can have other texts, so the set counts too.
+    joined = found.alias("f").join(classes.select("cid", "h1", "h2", "n_shingles", "rep").alias("c"), same_set("f", "c"))
+    return joined.select("c.cid", "f.shingles").dropDuplicates(["cid"])
 
 
 def verify(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
