@@ -42,8 +42,9 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from postmill.llm.text import slices
+from postmill.llm.text import BLANKS, slices
 from postmill.operators.components import connected_components
 from postmill.session import materialize
 
@@ -475,11 +476,9 @@ def linked_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int
         refused = materialize(refused.unionByName(judged.where("NOT linked").select("a", "b")), "refused")
 
 
-def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row of `docs`.
-
-    Links: 100 * intersection >= percent * union of the sets of `width`-word shingles.
-    """
+def members(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Per row of `docs` (doc_id, n_shingles, component_id), and per component with words
+    its first set: (rep, h1, h2, n_shingles), with the smallest doc_id, then the smallest hashes."""
     sets = materialize(describe(docs, width, percent), "sets")
     grouped = sets.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(
         F.min("doc_id").alias("rep"), F.first(F.struct("level", "signatures", "own", "next")).alias("of")
@@ -492,13 +491,61 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     joined = classes.select("cid", "h1", "h2", "n_shingles", "rep").join(labels, "cid")
     least = joined.groupBy("label").agg(F.min("rep").alias("component"))
     linked = joined.join(least, "label").select("h1", "h2", "n_shingles", "component")
-    alone = classes.join(labels, "cid", "left_anti").select("h1", "h2", "n_shingles", F.col("rep").alias("component"))
+    apart = classes.join(labels, "cid", "left_anti").select("rep", "h1", "h2", "n_shingles")
+    alone = apart.select("h1", "h2", "n_shingles", F.col("rep").alias("component"))
     every = linked.unionByName(alone)
     rows = sets.select("doc_id", "n_shingles", "h1", "h2").join(every, ["h1", "h2", "n_shingles"], "left")
-    return rows.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    one = F.struct("rep", "h1", "h2", "n_shingles")
+    first = joined.groupBy("label").agg(F.min_by(one, F.struct(F.col("rep").isNull(), one)).alias("of")).select("of.*")
+    return rows.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), first.unionByName(apart)
+
+
+def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id) per row of `docs`.
+
+    Links: 100 * intersection >= percent * union of the sets of `width`-word shingles.
+    """
+    return members(docs, width, percent)[0]
+
+
+def with_set(docs: DataFrame, width: int) -> DataFrame:
+    """(row: the columns of `docs`, rep, h1, h2, n_shingles) of each row."""
+
+    def rows(batches):
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                found = [(*set_hashes(s), len(s)) for s in shingle_sets(batch.column("text"), width)]
+                counts = [pa.array([f[k] for f in found], pa.int64()) for k in range(3)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("row"), batch.column("rep"), *counts], names=["row", "rep", "h1", "h2", "n_shingles"]
+                )
+
+    whole = docs.select(
+        F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("rep"), F.col("text").cast("string").alias("text")
+    )
+    kinds = [*whole.schema.fields[:2], *[T.StructField(c, T.LongType()) for c in ("h1", "h2", "n_shingles")]]
+    return whole.mapInArrow(rows, T.StructType(kinds))
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` whose doc_id is their component's id."""
-    gone = components(docs, width, percent).where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    """One row of `docs` per component, and every row without words.
+
+    The row is one with the component's smallest doc_id. A row whose id no other
+    has is judged by its id. Rows without id, or whose id others have, are told
+    apart by their sets; which of those with equal id and set stays is the one
+    with the smallest text.
+    """
+    rows, first = members(docs, width, percent)
+    per_id = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.expr("doc_id <> component_id")).alias("gone"))
+    judged = materialize(per_id.where("gone OR n > 1 OR doc_id IS NULL"), "judged_ids")
+    kept = docs.join(judged.select("doc_id"), "doc_id", "left_anti").where("doc_id IS NOT NULL").select(*docs.columns)
+    shared = judged.where("n > 1 OR doc_id IS NULL").select("doc_id")
+    if shared.isEmpty():
+        return kept
+    same = docs.join(shared.where("doc_id IS NOT NULL"), "doc_id", "left_semi").select(*docs.columns)
+    same = same.unionByName(docs.where("doc_id IS NULL"))
+    bare = F.coalesce(F.btrim(F.col("text").cast("string"), F.lit(BLANKS)), F.lit("")) == ""
+    # Copies are reduced map-side before the join.
+    one = with_set(same.where(~bare), width).groupBy("rep", "h1", "h2", "n_shingles").agg(F.min_by("row", "row.text").alias("row"))
+    chosen = one.alias("o").join(first.alias("f"), same_set("o", "f"), "left_semi").select("row.*")
+    return kept.unionByName(same.where(bare)).unionByName(chosen)

@@ -51,3 +51,19 @@ def test_near_copies_without_ids(spark, monkeypatch, width, percent, held):
     docs = spark.createDataFrame(rows, brute.SCHEMA).repartition(3)
     got = Counter(tuple(r) for r in ngram_join.components(docs, width, percent).collect())
     assert got == want
+
+
+def test_keep_first_keeps_one_row_of_each_component(spark):
+    rows = rows_without_ids()
+    found, members = expected(rows, 3, 80)
+    docs = brute.frame(spark, rows)
+    out = ngram_join.keep_first(docs, 3, 80)
+    assert out.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    assert sum(got.values()) == len(members)
+    assert not got - Counter((i, t) for i, t, _ in rows)
+    of = {rows[k][1] or "": low for k, (n, low) in found.items() if n}
+    assert Counter(of[t] for _, t in got.elements() if t) == Counter(low for low in members if found[low][0])
+    for i, t in got.elements():
+        if t:
+            assert i == min((rows[m][0] for m in members[of[t]] if rows[m][0] is not None), default=None)
