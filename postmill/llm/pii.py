@@ -41,8 +41,9 @@ PATTERNS = {
 }
 #: What a text must contain for a pattern to be tried.
 GATES = {"email": "@", "ip": ".", "card": "", "phone": "+"}
+SECRET = "(?i:token|password|passwd|secret|api[_-]?key)"
 ADDED = {
-    "secret": r"""(?i:token|password|passwd|secret|api[_-]?key)["']?\x20{0,2}[=:]\x20{0,2}["']?[A-Za-z0-9+/_=-]{8,}+""",
+    "secret": SECRET + r"""["']?\x20{0,2}[=:]\x20{0,2}["']?[A-Za-z0-9+/_=-]{8,}+""",
     "handle": r"(?<![A-Za-z0-9._%+@-])@[A-Za-z][A-Za-z0-9_]{2,30}+(?![.@])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "national": r"(?<![0-9.+-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
@@ -123,7 +124,8 @@ def base_spans(text: Column, kind: str) -> Column:
 def _loose(text: Column) -> Column:
     """Candidates: one pass of all loose patterns, so that they don't overlap."""
     pattern = "|".join(f"(?:{p})" for p in ADDED.values())
-    return F.when(text.rlike("[0-9@]"), located(text, pattern)).otherwise(F.array().cast(SPAN))
+    # Each alternative needs a digit, an @ or a word before a secret.
+    return F.when(text.rlike(f"[0-9@]|{SECRET}"), located(text, pattern)).otherwise(F.array().cast(SPAN))
 
 
 def _kind(value: Column) -> Column:
