@@ -5,7 +5,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from postmill.llm import (
-    decontaminate, licenses, line_dedup, ngram_join, pii, quality, sentencepieces, token_counts, token_store, warc,
+    conversation_trie, decontaminate, hard_negatives, licenses, line_dedup, ngram_join, pii, quality, secrets, sentencepieces,
+    token_counts, token_store, warc,
 )
 from postmill.llm.text import documents
 from postmill.session import new_folder
@@ -108,6 +109,34 @@ def op10_license_scan(spark, sf_dir):
     )
 
 
+@query
+def op11_conversation_trie(spark, sf_dir):
+    turns = conversation_trie.ordered(read(spark, sf_dir, "conversations"))
+    return conversation_trie.prefix_trie(*conversation_trie.share_heads(turns)).drop("d1", "d2")
+
+
+@query
+def op12_hard_negatives(spark, sf_dir):
+    label = F.col("label").cast("bigint")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives.mine(hard_negatives.integers(vectors), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op13_secret_scan(spark, sf_dir):
+    found = secrets.scan(documents(read(spark, sf_dir, "documents")))
+    base, every = F.col("secrets.base"), F.col("secrets.spans")
+
+    def count(kind):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(secrets.spelled(base), 256).alias("base_sha256"), secrets.spelled(every).alias("spans"),
+    )
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
