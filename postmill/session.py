@@ -12,6 +12,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     # Larger methods are never compiled by the JVM; Spark then splits them.
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
