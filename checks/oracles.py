@@ -270,7 +270,31 @@ PART_ROWS = """SELECT 'https://jobs.example.com/p/' || p_partkey AS url, p_type
   '' AS description, {location} AS location, {model} AS work_model, p_size || 'd' AS posted_date,
   p_brand || '/' || (p_partkey // 500) AS source FROM part"""
 
-LANDED = f"""lever AS (SELECT *, ((supp * 1048576 + ord // 500) % 10 = 3) AS broken FROM postings WHERE line % 3 = 1),
+MARKDOWN_HTML = (
+    ("p_name", "'Reno, NV'", "'Hybrid'"), ("p_name || ' & Sons'", "'Reno,' || chr(160) || 'NV'", "''"),
+)
+#: The document of each posting and its place in it, if all land in documents of one kind.
+PLACED = """placed AS (SELECT *, supp * 8 + ord // 500 % 8 AS body,
+  row_number() OVER (PARTITION BY supp, ord // 500 % 8 ORDER BY seq) - 1 AS pos FROM postings)"""
+
+
+def packed_seq(rank: int) -> str:
+    return f"({rank << 60} + body * 16777216 + pos)::BIGINT AS seq"
+
+
+GREENHOUSE_ROWS = """SELECT {seq}, url, title, CASE WHEN line = 3 THEN 'S' || supp ELSE company END AS company,
+  description || ' & more' AS description, location, '' AS work_model, '' AS posted_date, 'Greenhouse/s' || supp AS source
+FROM placed WHERE {where}"""
+LEVER_ROWS = (
+    "SELECT {seq}, url, " + LEVER_TEXT + """ AS title, 'S' || supp || '-Labs' AS company, description, location, work_model,
+  '' AS posted_date, 'Lever/s' || supp || '-labs' AS source FROM placed
+WHERE {where} AND (""" + INTERN.format(LEVER_TEXT).replace("{", "{{").replace("}", "}}") + " OR work_model <> '')"
+)
+ADZUNA_ROWS = """SELECT {seq}, url, title, company, description,
+  CASE line WHEN 2 THEN 'Dallas, TX' WHEN 5 THEN 'Brooklyn, NY' ELSE 'United States' END AS location,
+  '' AS work_model, '' AS posted_date, 'Adzuna' AS source FROM placed WHERE {where}"""
+
+LANDED = f"""lever AS (SELECT *, ((supp * 8 + ord // 500 % 8) % 10 = 3) AS broken FROM postings WHERE line % 3 = 1),
 landed AS (
   SELECT 'Greenhouse' AS kind, count(*) AS n FROM postings WHERE line % 3 = 0
   UNION ALL SELECT 'Lever', count(*) FROM lever WHERE NOT broken AND ({INTERN.format(LEVER_TEXT)} OR work_model <> '')
@@ -334,6 +358,16 @@ FROM labels l JOIN channels c USING (major) GROUP BY l.major, channel_id""",
     + """SELECT seq, CASE WHEN contains(title, 'bolt') OR contains(title, 'gear') THEN coalesce(majors, '')
   WHEN contains(title, 'ring') THEN 'mechanical:5,civil:2' ELSE 'civil:2,mechanical:2' END AS majors
 FROM postings LEFT JOIN ranked USING (seq)""",
+    "classify_chunked": with_(
+        POSTINGS, labelled("postings", "seq", "title || ' ' || description", TAXONOMY),
+        """numbered AS (SELECT seq, title, row_number() OVER (ORDER BY seq) - 1 AS n FROM postings)""",
+        """chunked AS (SELECT seq, n % 15 AS i, first_value(title) OVER (PARTITION BY n // 15 ORDER BY n) AS first, count(*) OVER (PARTITION BY n // 15) AS size
+  FROM numbered)""",
+        """answered AS (SELECT seq, i, ['civil', 'mechanical', 'MIS'][length(first) % 3 + 1] || ':' || (i % 5 + 1) AS answer,
+  contains(first, 'bolt') AS few, size FROM chunked)""",
+    )
+    + """SELECT a.seq, CASE WHEN few AND (size - 7 > size / 2.0 OR i >= 7) THEN coalesce(majors, '') ELSE answer END AS majors
+FROM answered a LEFT JOIN ranked USING (seq)""",
     "align_scores": with_(SLOTS, ALIGNED) + "SELECT chunk_id, index, coalesce(majors, 'missing') AS majors FROM aligned",
     "chunk_gate": with_(SLOTS, ALIGNED)
     + """SELECT chunk_id, count(*) AS slots, count(*) FILTER (majors IS NULL) AS missing,
@@ -443,15 +477,23 @@ SELECT job_url, pass_no, status, attempts, array_to_string(ids, ',') AS ids FROM
     "evolve_backfill": with_(JOBS)
     + f"""SELECT id, {company_key('company')} || '|' || {title_key('title')} || '|' || {location_key("coalesce(location, '')")} AS fingerprint,
   job_url AS normalized_url, 0 AS post_attempts, NULL::VARCHAR AS source, 3 AS version FROM jobs""",
-    "read_greenhouse": with_(POSTINGS)
-    + """SELECT url, title, CASE WHEN line = 3 THEN 'S' || supp ELSE company END AS company, description || ' & more' AS description,
-  location, '' AS work_model, '' AS posted_date, source FROM postings WHERE line % 3 = 0""",
-    "read_lever": with_(POSTINGS)
-    + f"""SELECT url, {LEVER_TEXT} AS title, 'S' || supp || '-Labs' AS company, description, location, work_model, '' AS posted_date,
-  'Lever/s' || supp || '-labs' AS source FROM postings WHERE line % 3 = 1 AND ({INTERN.format(LEVER_TEXT)} OR work_model <> '')""",
-    "read_adzuna": with_(POSTINGS)
-    + """SELECT url, title, company, description, CASE line WHEN 2 THEN 'Dallas, TX' WHEN 5 THEN 'Brooklyn, NY' ELSE 'United States' END AS location,
-  '' AS work_model, '' AS posted_date, 'Adzuna' AS source FROM postings WHERE line % 3 = 2""",
+    "read_greenhouse": with_(POSTINGS, PLACED) + GREENHOUSE_ROWS.format(seq=packed_seq(3), where="true"),
+    "read_lever": with_(POSTINGS, PLACED) + LEVER_ROWS.format(seq=packed_seq(4), where="true"),
+    "read_adzuna": with_(POSTINGS, PLACED) + ADZUNA_ROWS.format(seq=packed_seq(0), where="true"),
+    "stream_payloads": with_(POSTINGS, PLACED)
+    + "\nUNION ALL ".join(
+        f"SELECT * FROM ({rows}) x"
+        for rows in (
+            GREENHOUSE_ROWS.format(seq="body % 3 AS batch", where="line % 3 = 0"),
+            LEVER_ROWS.format(seq="body % 3 AS batch", where="line % 3 = 1"),
+            ADZUNA_ROWS.format(seq="body % 3 AS batch", where="line % 3 = 2"),
+            *[
+                "SELECT (replace(p_brand, 'Brand#', '')::BIGINT * 134217728 + p_partkey // 500) % 3 AS batch, "
+                + PART_ROWS.format(company=company, location=location, model=model).removeprefix("SELECT ")
+                for company, location, model in MARKDOWN_HTML
+            ],
+        )
+    ),
     "read_markdown": PART_ROWS.format(company="p_name", location="'Reno, NV'", model="'Hybrid'"),
     "read_html": PART_ROWS.format(company="p_name || ' & Sons'", location="'Reno,' || chr(160) || 'NV'", model="''"),
     "read_readmes": "SELECT * FROM ("
@@ -461,8 +503,10 @@ SELECT job_url, pass_no, status, attempts, array_to_string(ids, ',') AS ids FROM
     + ") WHERE source NOT LIKE '%0'",
     "read_landed": with_(POSTINGS, LANDED)
     + """SELECT * FROM landed
-UNION ALL SELECT 'rejected lever', count(DISTINCT (supp, ord // 500)) FROM lever WHERE broken HAVING count(*) > 0
+UNION ALL SELECT 'rejected lever', count(DISTINCT (supp, ord // 500 % 8)) FROM lever WHERE broken HAVING count(*) > 0
 UNION ALL SELECT 'different seq', sum(n)::BIGINT FROM landed""",
+    "read_damaged": with_(POSTINGS, LANDED)
+    + "SELECT * FROM landed UNION ALL SELECT 'lost ' || unnest(['adzuna', 'greenhouse', 'lever']), 1",
     "daily_run_landed": with_(POSTINGS, LANDED)
     + "SELECT 'ok' AS status, sum(n)::BIGINT AS fetched, 0::BIGINT AS errors, true AS consistent FROM landed",
     "stream_first_seen": with_(POSTINGS, KEYED, FIRST_SEEN_BATCH)

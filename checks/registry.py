@@ -1,6 +1,7 @@
 """One query per operator, over the sample tables."""
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -216,6 +217,20 @@ def classify_scored(spark, sf):
     return classify.classify(posts, scorer=chunk_scorer, row_scorer=row_scorer).select("seq", majors_text().alias("majors"))
 
 
+@query
+def classify_chunked(spark, sf):
+    """A scorer whose answers show the chunk, by its first posting, and the place in it. Where that posting
+    is about bolts it answers for seven postings only, so that chunks of 15 are discarded."""
+
+    def chunk_scorer(pairs):
+        first = pairs[0][0]
+        label = ["civil", "mechanical", "MIS"][len(first) % 3]
+        return [(i, [(label, i % 5 + 1)]) for i in range(7 if "bolt" in first else len(pairs))]
+
+    posts = views.postings(spark, sf).select("seq", "title", "description")
+    return classify.classify(posts, scorer=chunk_scorer).select("seq", majors_text().alias("majors"))
+
+
 @query
 def align_scores(spark, sf):
     asked = views.slots(spark, sf)
@@ -483,18 +498,17 @@ TEXT_COLUMNS = [c for c in POSTING.names if c != "seq"]
 
 @query
 def read_greenhouse(spark, sf):
-    raw = views.greenhouse_raw(views.feed(spark, sf))
-    return json_feeds.read_greenhouse(raw).select(*TEXT_COLUMNS)
+    return json_feeds.read_greenhouse(views.greenhouse_raw(views.feed(spark, sf))).select(*POSTING.names)
 
 
 @query
 def read_lever(spark, sf):
-    return json_feeds.read_lever(views.lever_raw(views.feed(spark, sf))).select(*TEXT_COLUMNS)
+    return json_feeds.read_lever(views.lever_raw(views.feed(spark, sf))).select(*POSTING.names)
 
 
 @query
 def read_adzuna(spark, sf):
-    return json_feeds.read_adzuna(views.adzuna_raw(views.feed(spark, sf))).select(*TEXT_COLUMNS)
+    return json_feeds.read_adzuna(views.adzuna_raw(views.feed(spark, sf))).select(*POSTING.names)
 
 
 @query
@@ -523,13 +537,9 @@ def read_readmes(spark, sf):
 def land_all(spark, sf):
     """All five kinds landed as files, with broken bodies among them."""
     folder = new_folder(spark, "landed")
-    posts = views.feed(spark, sf)
     broken = F.when(F.col("doc_ord") % 10 == 3, F.concat(F.lit("{"), F.col("body"))).otherwise(F.col("body"))
-    views.greenhouse_raw(posts).write.parquet(f"{folder}/greenhouse")
-    views.lever_raw(posts).withColumn("body", broken).write.parquet(f"{folder}/lever")
-    views.adzuna_raw(posts).write.parquet(f"{folder}/adzuna")
-    views.readme_docs(spark, sf, True).write.parquet(f"{folder}/markdown")
-    views.readme_docs(spark, sf, False).write.parquet(f"{folder}/html")
+    for kind, raw in views.payloads(spark, sf).items():
+        (raw.withColumn("body", broken) if kind == "lever" else raw).write.parquet(f"{folder}/{kind}")
     return folder
 
 
@@ -544,6 +554,18 @@ def read_landed(spark, sf):
     return counted.unionByName(lost.agg(F.count("*").alias("n"))).unionByName(unique)
 
 
+@query
+def read_damaged(spark, sf):
+    """All kinds read although each JSON kind has a file that is no Parquet; postings per source kind, and lost files."""
+    folder = land_all(spark, sf)
+    regions = views.read(spark, sf, "region").select(F.concat(F.lit("PAR1 cut "), "r_name").alias("value"))
+    for kind in ("adzuna", "greenhouse", "lever"):
+        regions.coalesce(1).write.mode("append").text(f"{folder}/{kind}")
+    postings, lost = union.read_isolated(spark, folder)
+    lost = lost.groupBy(F.concat(F.lit("lost "), "kind").alias("kind")).agg(F.count("*").alias("n"))
+    return postings.groupBy(F.split("source", "/")[0].alias("kind")).agg(F.count("*").alias("n")).unionByName(lost)
+
+
 # --- whole runs -----------------------------------------------------------------------------
 
 
@@ -559,6 +581,21 @@ def stream_first_seen(spark, sf):
     return spark.read.schema(ingest.SEEN).parquet(table).select("seq", "normalized_url", "fingerprint", "batch")
 
 
+@query
+def stream_payloads(spark, sf):
+    """Raw payloads of all kinds that land in three parts, each read by a run of its own; then the second part's batch
+    is repeated, as after a failure."""
+    landed, table, offsets = (new_folder(spark, name) for name in ("landed", "postings", "offsets"))
+    kinds = {kind: materialize(raw, kind) for kind, raw in views.payloads(spark, sf).items()}
+    for part in range(3):
+        for kind, raw in kinds.items():
+            raw.where(F.col("doc_ord") % 3 == part).write.mode("append").parquet(f"{landed}/{kind}")
+        ingest.land_payloads(ingest.landed_stream(spark, landed, 10**6), table, offsets).awaitTermination()
+    again = [raw.where(F.col("doc_ord") % 3 == 1).withColumn("kind", F.lit(kind)) for kind, raw in kinds.items()]
+    ingest.land_batch(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), again), 1, table)
+    return spark.read.schema(ingest.LANDED).parquet(table).select(*TEXT_COLUMNS, "batch")
+
+
 @query
 def daily_run(spark, sf):
     """A first full run over an empty store; every delivery succeeds."""

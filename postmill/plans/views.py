@@ -11,8 +11,8 @@ TERMS = [keywords[1] for keywords in TAXONOMY.values()]
 
 # Parts of `postings.seq`, from the least significant one.
 COPY_BITS, LINE_BITS = 8, 3
-# Order numbers in a landed document.
-ORDERS_PER_BODY = 500
+# A supplier's postings, whose number doesn't grow with the tables, land in so many documents.
+BODIES = 8
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,6 +38,7 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = (
         read(spark, sf_dir, "lineitem")
         .withColumn("copy", copy - 1)
+        .withColumn("copy", F.when(F.col("copy") < 1 << COPY_BITS, F.col("copy")).otherwise(F.raise_error(F.lit("too many copies"))))
         .join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(read(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
@@ -190,14 +191,18 @@ def line_of():
     return F.shiftright("seq", COPY_BITS) % (1 << LINE_BITS)
 
 
+def body_of():
+    """Number of the document a posting lands in; unique for all suppliers that fit 33 bits."""
+    return F.col("supplier") * BODIES + F.floor(order_of() / 500) % BODIES
+
+
 def _packed(rows: DataFrame, slug, item, wrap) -> DataFrame:
-    """Landed JSON bodies: one per supplier and 500 orders, so a body stays
-    small however large the table is."""
-    chunk = F.floor(order_of() / ORDERS_PER_BODY)
+    """Landed JSON bodies of bounded size, items in order of `seq`."""
+    listed = F.array_sort(F.collect_list(F.struct("seq", item.alias("item"))))
     return (
-        rows.groupBy(slug.alias("slug"), F.col("supplier").alias("s"), chunk.alias("c"))
-        .agg(F.collect_list(item).alias("items"))
-        .select("slug", F.expr("s * bigint(1048576) + c").alias("doc_ord"), F.to_json(wrap("items")).alias("body"))
+        rows.groupBy(slug.alias("slug"), body_of().alias("doc_ord"))
+        .agg(F.transform(listed, lambda i: i["item"]).alias("items"))
+        .select("slug", "doc_ord", F.to_json(wrap("items")).alias("body"))
     )
 
 
@@ -208,8 +213,8 @@ def greenhouse_raw(posts: DataFrame) -> DataFrame:
         F.concat(F.lit("<p>"), F.col("description"), F.lit(" &amp; more</p>")).alias("content"),
         F.struct(F.col("location").alias("name")).alias("location"),
     )
-    rows = posts.where(F.col("source").startswith("Greenhouse/"))
-    return _packed(rows, F.substring_index("source", "/", -1), item, lambda c: F.struct(F.col(c).alias("jobs")))
+    slug = F.concat(F.lit("s"), F.col("supplier").cast("string"))
+    return _packed(posts, slug, item, lambda c: F.struct(F.col(c).alias("jobs")))
 
 
 def lever_raw(posts: DataFrame) -> DataFrame:
@@ -223,9 +228,8 @@ def lever_raw(posts: DataFrame) -> DataFrame:
             commitment.alias("commitment"), "location", F.col("work_model").alias("workplaceType")
         ).alias("categories"),
     )
-    rows = posts.where(F.col("source") == "org/repo")
     slug = F.concat(F.lit("s"), F.col("supplier").cast("string"), F.lit("-labs"))
-    return _packed(rows, slug, item, F.col)
+    return _packed(posts, slug, item, F.col)
 
 
 def adzuna_raw(posts: DataFrame) -> DataFrame:
@@ -242,8 +246,20 @@ def adzuna_raw(posts: DataFrame) -> DataFrame:
         F.struct(F.col("company").alias("display_name")).alias("company"),
         F.struct(F.lit("United States").alias("display_name"), area.alias("area")).alias("location"),
     )
-    rows = posts.where(F.col("source") == "Adzuna")
-    return _packed(rows, F.lit("term"), item, lambda c: F.struct(F.col(c).alias("results")))
+    return _packed(posts, F.lit("term"), item, lambda c: F.struct(F.col(c).alias("results")))
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Raw rows of all five kinds; postings go to the JSON kind that their source names."""
+    posts = feed(spark, sf_dir)
+    source = F.col("source")
+    return {
+        "greenhouse": greenhouse_raw(posts.where(source.startswith("Greenhouse/"))),
+        "lever": lever_raw(posts.where(source == "org/repo")),
+        "adzuna": adzuna_raw(posts.where(source == "Adzuna")),
+        "markdown": readme_docs(spark, sf_dir, True),
+        "html": readme_docs(spark, sf_dir, False),
+    }
 
 
 def readme_docs(spark: SparkSession, sf_dir: str, markdown: bool) -> DataFrame:
