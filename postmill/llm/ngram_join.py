@@ -13,7 +13,7 @@
 3. Each set is first compared exactly with the set that shares most parts with it
    and comes first, which joins most copies of a text at linear cost.
 4. In components that are still in several pieces, members are dealt into tiles by
-   size level. A task compares two tiles by bitmaps: each shingle flips one bit,
+   size level, those of the largest piece, which need not meet each other, apart. A task compares two tiles by bitmaps: each shingle flips one bit,
    so the set bits of two bitmaps' XOR are at most the shingles in just one of
    the sets, which bounds the overlap from above. Of the pairs that pass, one
    between any two pieces is intersected exactly by sorted arrays, then sixteen
@@ -366,7 +366,7 @@ def compare_members(rows: dict[str, np.ndarray], percent: int, most: int) -> lis
     return pairs
 
 
-TILE_KEY = ("comp", "low", "i", "high", "j")
+TILE_KEY = ("comp", "cross", "low", "i", "high", "j")
 MEMBER = ("side", "node", "label", "level", "n_shingles", "own", "next", "refused")
 
 
@@ -402,44 +402,62 @@ def likely_pairs(dealt: DataFrame, percent: int, most: int) -> DataFrame:
 def tiles(members: DataFrame) -> DataFrame:
     """Members with `TILE_KEY`, once for each pair of tiles they are in, and `side` (2: compare with all).
 
-    `members`: (comp, node, label, level, ...). Counts per component and level
-    decide; they are joined by component, never gathered.
+    `members`: (comp, node, label, level, ...), a stored table; `label` names the piece.
+    Members of a component's largest piece are linked with each other already, so
+    they only meet the others, in tiles of their own (`cross`): each is copied once
+    per tile of others in its level and the two beside it, which is one tile as long
+    as few are left outside. The others also meet each other. Counts per component,
+    piece and level decide; they are joined by component, never gathered.
     """
-    sizes = members.groupBy("comp", "level").agg(F.count("*").alias("n"))
-    large = sizes.groupBy("comp").agg(
-        F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("level", "n"))).alias("by_level")
-    )
-    # Only levels of a component that is dealt out are kept; there are few levels, whatever the data.
-    known = members.join(large, "comp")
-
-    def dealt(level):
-        n = F.coalesce(F.try_element_at("by_level", level), F.lit(0))
+    pieces = members.groupBy("comp", "label").agg(F.count("*").alias("n"))
+    largest = pieces.groupBy("comp").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.sum("n").alias("total"))
+    known = members.join(largest, "comp").withColumn("main", F.col("label") == F.col("largest"))
+    sizes = known.groupBy("comp", "main", "level").agg(F.count("*").alias("n"))
+    # There are few levels, whatever the data.
+    level_sizes = [
+        F.map_from_entries(F.collect_list(F.when(main, F.struct("level", "n")))).alias(name)
+        for name, main in (("mains", F.col("main")), ("others", ~F.col("main")))
+    ]
+    known = known.join(sizes.groupBy("comp").agg(*level_sizes), "comp")
+
+    def dealt(of: str, level):
+        n = F.coalesce(F.try_element_at(of, level), F.lit(0))
         spread = F.least(F.lit(SPREAD), F.ceil(n / 256))
         return F.greatest(spread, F.ceil(n / TILE)).cast("int")
 
     def numbers(count):
         return F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
 
-    mine = F.pmod(F.xxhash64("node"), dealt(F.col("level"))).cast("int")
+    level = F.col("level")
+    mine = F.pmod(F.xxhash64("node"), F.when(F.col("main"), dealt("mains", level)).otherwise(dealt("others", level))).cast("int")
 
-    def pair(low, i, high, j, side):
-        return F.struct(low.alias("low"), i.alias("i"), high.alias("high"), j.alias("j"), F.lit(side).alias("side"))
+    def pair(cross, low, i, high, j, side):
+        return F.struct(
+            F.lit(cross).alias("cross"), low.alias("low"), i.alias("i"), high.alias("high"), j.alias("j"),
+            (side if isinstance(side, Column) else F.lit(side)).alias("side"),
+        )
 
-    level = F.col("level")
     same = F.transform(
-        numbers(dealt(level)),
-        lambda o: F.struct(
-            level.alias("low"), F.least(mine, o).alias("i"), level.alias("high"), F.greatest(mine, o).alias("j"),
-            F.when(o == mine, 2).when(o > mine, 0).otherwise(1).alias("side"),
-        ),
+        numbers(dealt("others", level)),
+        lambda o: pair(0, level, F.least(mine, o), level, F.greatest(mine, o), F.when(o == mine, 2).when(o > mine, 0).otherwise(1)),
+    )
+    above = F.transform(numbers(dealt("others", level + 1)), lambda o: pair(0, level, mine, level + 1, o, 0))
+    below = F.transform(numbers(dealt("others", level - 1)), lambda o: pair(0, level - 1, o, level, mine, 1))
+
+    def to_mains(at):
+        return F.transform(numbers(dealt("mains", at)), lambda o: pair(1, level, mine, at, o, 0))
+
+    def to_others(at):
+        return F.transform(numbers(dealt("others", at)), lambda o: pair(1, at, o, level, mine, 1))
+
+    beside = [level - 1, level, level + 1]
+    whole = F.array(pair(0, F.lit(-1), F.lit(0), F.lit(-1), F.lit(0), 2))
+    every = F.when(F.col("total") <= ONE_TILE, whole).when(F.col("main"), F.concat(*map(to_others, beside))).otherwise(
+        F.concat(same, above, below, *map(to_mains, beside))
     )
-    above = F.transform(numbers(dealt(level + 1)), lambda o: pair(level, mine, level + 1, o, 0))
-    below = F.transform(numbers(dealt(level - 1)), lambda o: pair(level - 1, o, level, mine, 1))
-    whole = F.array(pair(F.lit(-1), F.lit(0), F.lit(-1), F.lit(0), 2))
-    every = F.when(F.col("total") <= ONE_TILE, whole).otherwise(F.concat(same, above, below))
     spread = known.withColumn("pair", F.explode(every))
     return spread.select(
-        "comp", "pair.low", "pair.i", "pair.high", "pair.j", "pair.side",
+        "comp", *[f"pair.{c}" for c in TILE_KEY[1:]], "pair.side",
         "node", "label", "level", "n_shingles", "own", "next", "refused",
     )
 
