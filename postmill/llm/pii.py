@@ -19,17 +19,20 @@ of the pieces between matches and of the matches themselves, summed up.
 
 Defined results: null text is empty and has no spans; rows are searched one by
 one, so ties and repeated rows don't matter (but each counts as evidence); an
-empty table gives no rows; without candidates nothing is fitted or added; other
+empty table gives no rows; positions are summed up and spans compared in blocks and
+sweeps, so a text with very many spans costs no product of them; without candidates nothing is fitted or added; other
 columns are kept, whatever their names, except the struct `pii`.
 """
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions.text import let
+from postmill.llm.text import in_row
 from postmill.session import materialize
 
 LOCAL = "A-Za-z0-9._%+-"
@@ -63,30 +66,99 @@ FOR = r"(?i)\b(?:e-?mail|mail|contact|phone|tel|telefon|téléphone|teléfono|ca
 AGAINST = r"(?i)\b(?:isbn|issn|version|page|pages|article|fig|figure|table|total|price|year|chapter|section|vol|order|invoice|part)\b"
 CONTEXT = 30
 VOTES = (-1, 0, 1)
+#: Items summed up one by one; a longer list is summed up in blocks.
+BLOCK = 128
+LAST = 2**31 - 1
 SPAN = "array<struct<start:int,end:int,value:string>>"
+AROUND = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
 FEATURES = ("length", "digits", "letters", "left", "right", "cue")
 
 
-def located(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value) of a pattern's matches, from left to right."""
+def running(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """Running sums (or what `add` gives) of an array; `add` is associative.
+
+    Appending copies an array, so blocks are summed up by themselves and moved by the blocks before them.
+    """
+
+    def small(part: Column, kind: str = "array<int>") -> Column:
+        def put(done: Column, x: Column) -> Column:
+            return F.array_append(done, F.when(F.size(done) == 0, x).otherwise(add(F.element_at(done, -1), x)))
+
+        return F.aggregate(part, F.array().cast(kind), put)
+
+    def move(blocks: Column) -> Column:
+        ends = small(F.transform(blocks, lambda b: F.element_at(b, -1)))
+        return let(ends, lambda e: F.flatten(F.transform(
+            blocks, lambda b, k: F.when(k == 0, b).otherwise(F.transform(b, lambda x: add(F.get(e, k - 1), x)))
+        )))
+
+    def of(all_values: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(all_values), F.lit(BLOCK))
+        blocks = F.transform(starts, lambda at: small(F.slice(all_values, at, BLOCK)))
+        return F.when(F.size(all_values) == 0, F.array().cast("array<int>")).otherwise(let(blocks, move))
+
+    return let(values, of)
+
+
+def last_chars(text: Column) -> Column:
+    return F.right(text, F.lit(CONTEXT))
+
+
+def located(text: Column, pattern: str, around: bool = False) -> Column:
+    """Array of (start, end, value) of a pattern's matches, from left to right.
+
+    `around` adds `before` (up to `CONTEXT` characters) and `after` (one); a
+    match must then have at least four characters.
+    """
 
     def sum_up(parts: Column, hits: Column) -> Column:
-        def add(done: Column, k: Column) -> Column:
-            start = done["at"] + F.length(F.get(parts, k))
-            end = start + F.length(F.get(hits, k))
-            span = F.struct(start.alias("start"), end.alias("end"), F.get(hits, k).alias("value"))
-            return F.struct(end.alias("at"), F.array_append(done["spans"], span).alias("spans"))
+        sizes = F.transform(hits, lambda hit, k: F.length(F.get(parts, k)) + F.length(hit))
+
+        def span(hit: Column, k: Column, ends: Column) -> Column:
+            place = [(F.get(ends, k) - F.length(hit)).alias("start"), F.get(ends, k).alias("end"), hit.alias("value")]
+            if not around:
+                return F.struct(*place)
+            pieces = [last_chars(F.get(parts, k))]
+            for back in range(1, CONTEXT // 4 + 2):  # so many matches fill the context
+                pieces = [*(F.when(k >= back, last_chars(F.get(of, k - back))) for of in (parts, hits)), *pieces]
+            after = F.substring(F.concat(F.get(parts, k + 1), F.coalesce(F.get(hits, k + 1), F.lit(""))), 1, 1)
+            return F.struct(*place, last_chars(F.concat_ws("", *pieces)).alias("before"), after.alias("after"))
 
-        none = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), none, add, lambda done: done["spans"])
+        return let(running(sizes, lambda a, b: a + b), lambda ends: F.transform(hits, lambda hit, k: span(hit, k, ends)))
 
     def of(hits: Column) -> Column:
         parts = F.split(text, pattern, -1)
-        return F.when(F.size(hits) == 0, F.array().cast(SPAN)).otherwise(let(parts, lambda p: sum_up(p, hits)))
+        none = F.array().cast(AROUND if around else SPAN)
+        return F.when(F.size(hits) == 0, none).otherwise(let(parts, lambda p: sum_up(p, hits)))
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of)
 
 
+def untouched(spans: Column, others: Column) -> Column:
+    """The `spans` (in order, apart from each other) that none of `others` overlaps: one sweep by start."""
+
+    def sweep(items: Column) -> Column:
+        ends = F.transform(items, lambda s: F.when(s["k"] < 0, s["end"]).otherwise(0))
+        starts = F.transform(F.reverse(items), lambda s: F.when(s["k"] < 0, s["start"]).otherwise(LAST))
+        last_end = running(ends, F.greatest)
+        next_start = F.reverse(running(starts, F.least))
+
+        def free(last_end: Column, next_start: Column) -> Column:
+            def judged(s: Column, i: Column) -> Column:
+                return F.when((s["k"] >= 0) & (F.get(last_end, i) <= s["start"]) & (F.get(next_start, i) >= s["end"]), s["k"])
+
+            return F.transform(F.array_compact(F.transform(items, judged)), lambda k: F.get(spans, k))
+
+        return let(last_end, lambda e: let(next_start, lambda n: free(e, n)))
+
+    def item(s: Column, k: Column) -> Column:
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), k.cast("int").alias("k"))
+
+    items = F.concat(F.transform(spans, item), F.transform(others, lambda s: item(s, F.lit(-1))))
+    none = (F.size(spans) == 0) | (F.size(others) == 0)
+    return F.when(none, spans).otherwise(let(F.sort_array(items), sweep))
+
+
 def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -125,7 +197,7 @@ def _loose(text: Column) -> Column:
     """Candidates: one pass of all loose patterns, so that they don't overlap."""
     pattern = "|".join(f"(?:{p})" for p in ADDED.values())
     # Each alternative needs a digit, an @ or a word before a secret.
-    return F.when(text.rlike(f"[0-9@]|{SECRET}"), located(text, pattern)).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(f"[0-9@]|{SECRET}"), located(text, pattern, around=True)).otherwise(F.array().cast(AROUND))
 
 
 def _kind(value: Column) -> Column:
@@ -143,15 +215,15 @@ def _one_of(kind: Column, patterns: dict[str, str], value: Column) -> Column:
     return reduce(lambda a, b: a | b, [(kind == k) & value.rlike(p) for k, p in patterns.items()])
 
 
-def _candidate(text: Column, span: Column) -> Column:
+def _candidate(span: Column) -> Column:
     """Struct of kind, positions, votes and features of a loose match."""
     kind = _kind(span["value"])
     value = F.when(kind == "secret", F.regexp_extract(span["value"], r"[A-Za-z0-9+/_=-]{8,}$", 0)).otherwise(span["value"])
     size = F.length(value)
     number = F.length(digits(value))
     start = span["end"] - size
-    before = F.substring(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT)))
-    left, right = F.substring(text, start, 1), F.substring(text, span["end"] + 1, 1)
+    before = last_chars(F.concat(span["before"], F.left(span["value"], F.length(span["value"]) - size)))
+    left, right = F.right(before, F.lit(1)), span["after"]
     mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
     shape = (
         F.when(kind == "secret", F.when(mixed & (size >= 12), 1).when(~mixed, -1).otherwise(0))
@@ -179,12 +251,9 @@ def find(docs: DataFrame) -> DataFrame:
     base = F.struct(*[
         F.transform(base_spans(text, k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in PATTERNS
     ])
-    found = docs.withColumn("__base", base).withColumn("__loose", F.transform(_loose(text), lambda s: _candidate(text, s)))
-    every = F.concat(*[F.col(f"__base.{k}") for k in PATTERNS])
-    free = F.filter(
-        "__loose", lambda c: ~F.exists(every, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    )
-    return found.withColumn("__loose", free).drop("text")
+    every = F.concat(*[F.col("__base").getField(k) for k in PATTERNS])
+    found = docs.withColumn("__base", base).withColumn("__loose", F.transform(_loose(text), _candidate))
+    return found.withColumn("__loose", untouched(F.col("__loose"), every)).drop("text")
 
 
 def vote_counts(found: DataFrame) -> list:
@@ -256,7 +325,8 @@ def _map(values: dict[str, float]) -> Column:
 
 def detect(docs: DataFrame, least: float = 0.9) -> DataFrame:
     """`docs` without text, with the struct `pii`: base (arrays per kind), spans (kind, start, end, in order)."""
-    found = materialize(find(docs.drop("pii")), "spans")
+    rows = docs.select(in_row(docs, "text", "pii"), F.col("text").cast("string").alias("text"))
+    found = materialize(find(rows), "spans")
     prior, weight = fit(found)
 
     def log_odds(c: Column) -> Column:
@@ -279,7 +349,7 @@ def detect(docs: DataFrame, least: float = 0.9) -> DataFrame:
     pii = F.struct(
         F.col("__base").alias("base"), F.sort_array(base).alias("base_spans"), F.sort_array(F.concat(base, added)).alias("spans")
     )
-    return found.withColumn("pii", pii).drop("__base", "__loose")
+    return found.select("row", pii.alias("pii")).select("row.*", "pii")
 
 
 def spelled(spans: Column) -> Column:

@@ -43,6 +43,27 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20):
         yield batch.slice(start)
 
 
+def quoted(name: str) -> Column:
+    """The column with exactly this name, dots and back-quotes included."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def in_row(docs: DataFrame, *left_out: str) -> Column:
+    """Struct `row` of all other columns: inside it no name can clash with those that an operator adds."""
+    return F.struct(*[quoted(c) for c in docs.columns if c.lower() not in left_out]).alias("row")
+
+
+def beside_text(docs: DataFrame, left_out: str) -> DataFrame:
+    """`row` (all columns but `text` and `left_out`) and `text`, for Python workers."""
+    return docs.select(in_row(docs, "text", left_out), F.col("text").cast("string").alias("text"))
+
+
+def as_before(found: DataFrame, docs: DataFrame, added: str) -> DataFrame:
+    """The columns of `docs` in their order, from `row` and `text`, and `added`."""
+    names = [c for c in docs.columns if c.lower() != added]
+    return found.select(*[F.col("text").alias(c) if c.lower() == "text" else F.col("row").getField(c).alias(c) for c in names], added)
+
+
 def documents(docs: DataFrame) -> DataFrame:
     """The two columns that the digest queries need."""
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
