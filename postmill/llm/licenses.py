@@ -13,6 +13,7 @@ names, except the struct `licenses`.
 """
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from postmill.llm.text import plain_words, slices
+from postmill.llm.text import as_before, beside_text, plain_words, slices
 
 #: Phrases that are reported wherever their words stand together.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -205,6 +206,8 @@ def scan_text(text: str | None) -> dict:
     places = phrase_places(line)
     detections = scanner().detect(line)
     base = sorted({label for _, label in places})
+    # Places of the blanks, so that a detection's words are found by binary search.
+    blanks = [k for k, c in enumerate(line) if c == " "] if places or detections else []
     doubt = 1.0
     for weight in {d.rule.label: d.rule.weight for d in detections}.values():
         doubt *= 1 - weight
@@ -213,8 +216,8 @@ def scan_text(text: str | None) -> dict:
     return {
         "n_words": len(found),
         "n_base": len(places),
-        "first_word": line.count(" ", 0, places[0][0]) if places else None,
-        "last_word": line.count(" ", 0, places[-1][0]) if places else None,
+        "first_word": bisect_left(blanks, places[0][0]) if places else None,
+        "last_word": bisect_left(blanks, places[-1][0]) if places else None,
         "base_labels": base,
         "labels": sorted({*base, *(d.rule.label for d in detections)}),
         "score": round(1 - doubt, 6),
@@ -222,8 +225,8 @@ def scan_text(text: str | None) -> dict:
             {
                 "label": d.rule.label,
                 "priority": d.rule.priority,
-                "first_word": line.count(" ", 0, d.start - 1),
-                "n_words": line.count(" ", d.start, d.end) + 1,
+                "first_word": bisect_left(blanks, d.start - 1),
+                "n_words": bisect_left(blanks, d.end) - bisect_left(blanks, d.start) + 1,
             }
             for d in detections
         ],
@@ -232,15 +235,14 @@ def scan_text(text: str | None) -> dict:
 
 def scan(docs: DataFrame) -> DataFrame:
     """`docs` with the struct `licenses`: counts, labels, score and the detections with their words."""
-    kept = docs.drop("licenses")
-    where = kept.columns.index("text")
+    kept = beside_text(docs, "licenses")
     out = T.StructType([*kept.schema.fields, T.StructField("licenses", T.StructType.fromDDL(RESULT))])
     arrow = to_arrow_type(out.fields[-1].dataType)
 
     def scan_batches(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
-                rows = [scan_text(text) for text in batch.column(where).to_pylist()]
+                rows = [scan_text(text) for text in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, arrow)], names=[*batch.schema.names, "licenses"])
 
-    return kept.mapInArrow(scan_batches, out)
+    return as_before(kept.mapInArrow(scan_batches, out), docs, "licenses")
