@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postmill.llm.text import plain_words, slices
+from postmill.llm.text import as_before, beside_text, in_row, plain_words, slices
 
 #: A word of a text as it is, A-Z included, which `plain_words` lower-cases.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -102,13 +102,17 @@ def _union(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int
 
 def scan(docs: DataFrame, benchmark: DataFrame, width: int = 13, block_words: int = BLOCK_WORDS) -> DataFrame:
     """`docs` with the struct `contamination`: n_words, n_hit, items (ids), spans (character offsets)."""
+    return as_before(_scanned(beside_text(docs, "contamination"), benchmark, width, block_words), docs, "contamination")
+
+
+def _scanned(rows: DataFrame, benchmark: DataFrame, width: int = 13, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """`rows` (row, text) with the struct `contamination`."""
     items = benchmark.select(F.col("item_id").cast("bigint"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
-    kept = [c for c in docs.columns if c != "contamination"]
     runs_type = "array<struct<start:bigint,end:bigint>>"
     empty = F.struct(
         F.array().cast(runs_type).alias("runs"), F.array().cast("array<bigint>").alias("items")
     )
-    scanned = docs.select(*[F.col(f"`{c}`") for c in kept], empty.alias("contamination"))
+    scanned = rows.withColumn("contamination", empty)
     blocks = list(_block_files(items, block_words))
     for position, block in enumerate(blocks):
         scanned = _scan_block(scanned, block, width, last=position == len(blocks) - 1)
@@ -171,5 +175,5 @@ def items_digest(items) -> "F.Column":
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFrame:
     """The rows of `docs` that aren't contaminated."""
-    scanned = scan(docs, benchmark, width)
-    return scanned.where(~is_contaminated(F.col("contamination"))).drop("contamination")
+    rows = docs.select(in_row(docs), F.col("text").cast("string").alias("text"))
+    return _scanned(rows, benchmark, width).where(~is_contaminated(F.col("contamination"))).select("row.*")

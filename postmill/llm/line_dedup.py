@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm.text import BLANKS, lower_ascii
+from postmill.llm.text import BLANKS, in_row, lower_ascii
 from postmill.session import materialize, new_folder
 
 RUN = "key binary, n_docs bigint, keeper bigint"
@@ -147,18 +147,22 @@ def drop_repeated_lines(docs: DataFrame, least_chars: int = 40, least_docs: int
     `line_dedup` of the input is replaced.
     """
     gone = repeated_keys(docs.select("doc_id", "text"), least_chars, least_docs, **how)
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
-    joined = docs.join(gone, F.col("doc_id") == F.col("__id"), "left")
+    rows = docs.select(in_row(docs, "line_dedup"), F.col("doc_id").alias("id"))
+    gone = gone.withColumnRenamed("doc_id", "key_of")
+    joined = rows.join(gone, F.col("id") == F.col("key_of"), "left")
+    text = F.col("row").getField("text")
 
     def stays(line: Column) -> Column:
         key = line_key(line)
-        return (F.length(key) < least_chars) | ~F.array_contains("__gone", key_hash(key))
+        return (F.length(key) < least_chars) | ~F.array_contains("gone", key_hash(key))
 
-    kept = F.when(F.col("__gone").isNull(), lines(F.col("text"))).otherwise(F.filter(lines(F.col("text")), stays))
-    counted = joined.withColumn("__kept", kept)
+    kept = F.when(F.col("gone").isNull(), lines(text)).otherwise(F.filter(lines(text), stays))
+    counted = joined.select("row", "gone", kept.alias("kept"))
     sizes = F.struct(
-        F.size(lines(F.col("text"))).cast("bigint").alias("n_lines"),
-        (F.size(lines(F.col("text"))) - F.size("__kept")).cast("bigint").alias("n_dropped"),
+        F.size(lines(text)).cast("bigint").alias("n_lines"),
+        (F.size(lines(text)) - F.size("kept")).cast("bigint").alias("n_dropped"),
+    )
+    left = F.when(F.col("gone").isNull(), text).otherwise(F.array_join("kept", "\n"))
+    return counted.select(F.col("row").withField("text", left).alias("row"), sizes.alias("line_dedup")).select(
+        "row.*", "line_dedup"
     )
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n"))
-    return counted.withColumn("line_dedup", sizes).withColumn("text", text).drop("__id", "__gone", "__kept")

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postmill.llm.text import BLANKS, slices
+from postmill.llm.text import BLANKS, quoted, slices
 from postmill.operators.components import connected_components
 from postmill.session import materialize
 
@@ -556,11 +556,11 @@ def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     rows, first = members(docs, width, percent)
     per_id = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.expr("doc_id <> component_id")).alias("gone"))
     judged = materialize(per_id.where("gone OR n > 1 OR doc_id IS NULL"), "judged_ids")
-    kept = docs.join(judged.select("doc_id"), "doc_id", "left_anti").where("doc_id IS NOT NULL").select(*docs.columns)
+    kept = docs.join(judged.select("doc_id"), "doc_id", "left_anti").where("doc_id IS NOT NULL").select(*map(quoted, docs.columns))
     shared = judged.where("n > 1 OR doc_id IS NULL").select("doc_id")
     if shared.isEmpty():
         return kept
-    same = docs.join(shared.where("doc_id IS NOT NULL"), "doc_id", "left_semi").select(*docs.columns)
+    same = docs.join(shared.where("doc_id IS NOT NULL"), "doc_id", "left_semi").select(*map(quoted, docs.columns))
     same = same.unionByName(docs.where("doc_id IS NULL"))
     bare = F.coalesce(F.btrim(F.col("text").cast("string"), F.lit(BLANKS)), F.lit("")) == ""
     # Copies are reduced map-side before the join.

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from postmill.llm.text import slices
+from postmill.llm.text import as_before, beside_text, slices
 
 MARK = "▁"
 INDEX_CHARS = 250_000
@@ -323,15 +323,14 @@ def pieces(path: str) -> Pieces:
 
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """`docs` with the struct `pieces`: n_pieces, ids (uint32 little-endian), decoded (the text of the ids)."""
-    kept = docs.drop("pieces")
-    where = kept.columns.index("text")
+    kept = beside_text(docs, "pieces")
     out = T.StructType([*kept.schema.fields, T.StructField("pieces", T.StructType.fromDDL(RESULT))])
 
     def encode_batches(batches):
         machine = pieces(model)
         for whole in batches:
             for batch in slices(whole, "text", 8 << 20):
-                ids, counts = machine.encode(batch.column(where))
+                ids, counts = machine.encode(batch.column("text"))
                 ends = np.concatenate([[0], np.cumsum(counts) * 4]).astype(np.int32)
                 data = pa.py_buffer(ids.astype("<u4").tobytes())
                 struct = pa.StructArray.from_arrays(
@@ -344,4 +343,4 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
                 )
                 yield pa.RecordBatch.from_arrays([*batch.columns, struct], names=[*batch.schema.names, "pieces"])
 
-    return kept.mapInArrow(encode_batches, out)
+    return as_before(kept.mapInArrow(encode_batches, out), docs, "pieces")

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from postmill.llm.text import slices
+from postmill.llm.text import as_before, beside_text, slices
 
 START, CONTINUE, NONE = 0, 1, -1
 RESULT = "n_words bigint, n_tokens bigint, n_unknown bigint"
@@ -131,15 +131,14 @@ def automaton(model: str) -> Automaton:
 
 def count_tokens(docs: DataFrame, model: str) -> DataFrame:
     """`docs` with the struct `token_counts`: n_words, n_tokens, n_unknown (words)."""
-    kept = docs.drop("token_counts")
-    where = kept.columns.index("text")
+    kept = beside_text(docs, "token_counts")
     out = T.StructType([*kept.schema.fields, T.StructField("token_counts", T.StructType.fromDDL(RESULT))])
 
     def count_batches(batches):
         machine = automaton(model)
         for whole in batches:
             for batch in slices(whole, "text", 32 << 20):
-                split = pc.ascii_split_whitespace(batch.column(where).fill_null(""))
+                split = pc.ascii_split_whitespace(batch.column("text").fill_null(""))
                 coded = split.flatten().dictionary_encode()
                 spelled = np.array(coded.dictionary.to_pylist(), dtype=object)
                 filled = np.array([bool(w) for w in spelled], dtype=bool)
@@ -154,4 +153,4 @@ def count_tokens(docs: DataFrame, model: str) -> DataFrame:
                 struct = pa.StructArray.from_arrays([pa.array(x) for x in sums], ["n_words", "n_tokens", "n_unknown"])
                 yield pa.RecordBatch.from_arrays([*batch.columns, struct], names=[*batch.schema.names, "token_counts"])
 
-    return kept.mapInArrow(count_batches, out)
+    return as_before(kept.mapInArrow(count_batches, out), docs, "token_counts")
