@@ -25,6 +25,7 @@ import os
 import posixpath
 from functools import lru_cache
 from itertools import islice
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +42,11 @@ LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)
 #: What of four bytes belongs to a rank of a length.
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
 #: Runs of these at a word's end are a unit of their own.
-PUNCTUATION = ".,;:!?|)]}"
-#: Units a task remembers before it forgets them all; some hundred bytes each.
-KNOWN_UNITS = 600_000
+PUNCTUATION = ".,;:!?|)]}#*$%&"
+#: Such runs after letters that stay letters in lower case and when composed: cut off by a blank.
+WORD_END = r"([A-Za-zß-öø-ÿ])([.,;:!?|)\]}#*$%&]+)([\x20\x09-\x0D]|$)"
+#: Units a worker remembers, from task to task, before it forgets them all; some 200 bytes each.
+KNOWN_UNITS = 400_000
 MANIFEST = "shard int, path string, n_docs bigint, n_tokens bigint, n_bytes bigint"
 
 
@@ -100,36 +103,53 @@ class WordCoder:
         self.tokenizer, self.together = Tokenizer.from_file(path), together
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        #: Whether A-Z and a-z have the same ids, so that words may be looked up in lower case.
+        self.lowers = len({tuple(self.tokenizer.encode(c, add_special_tokens=False).ids) for c in ("AZ", "aZ", "az")}) == 1
         self.forget()
 
     def forget(self) -> None:
         self.place = {"": 0}
-        self.pool, self.sizes = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.pool, self.starts = np.zeros(0, np.uint32), np.zeros(2, np.int64)
 
-    def code(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words, concatenated, and their numbers."""
+    def find(self, words: list[str]) -> np.ndarray:
+        """Places of all words; the ids of place k are `pool[starts[k] : starts[k + 1]]`."""
         if len(self.place) > KNOWN_UNITS:
             self.forget()
         found = list(map(self.place.get, words))
         if None in found:
             self._learn([w for w, k in zip(words, found, strict=True) if k is None])
             found = list(map(self.place.__getitem__, words))
-        return self._gather(np.array(found, dtype=np.int64))
+        return np.array(found, dtype=np.int64)
+
+    def code(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, concatenated, and their numbers."""
+        return self.gather(self.find(words))
+
+    def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all places, concatenated, and their numbers."""
+        starts = self.starts[places]
+        counts = self.starts[places + 1] - starts
+        return self.pool[_ragged(starts, counts)], counts
 
-    def _gather(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        counts = self.sizes[entries]
-        return self.pool[_ragged((np.cumsum(self.sizes) - self.sizes)[entries], counts)], counts
+    def add_unit(self, ids: list[int]) -> int:
+        """Place of a unit that is no word."""
+        name = f" {ids}"  # no word has a space
+        if name not in self.place:
+            self._add([name], [np.array(ids, dtype=np.uint32)], [np.array([len(ids)])])
+        return self.place[name]
 
     def _add(self, names: list[str], ids: list[np.ndarray], sizes: list[np.ndarray]) -> None:
         first = len(self.place)
         self.place.update(zip(names, range(first, first + len(names)), strict=True))
-        self.pool, self.sizes = np.concatenate([self.pool, *ids]), np.concatenate([self.sizes, *sizes])
+        self.pool = np.concatenate([self.pool, *ids])
+        added = np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]))
+        self.starts = np.concatenate([self.starts, self.starts[-1] + added])
 
     def _learn(self, words: list[str]) -> None:
         """Add words that are not known: those of letters, other ones, then those of both."""
         cores = [w.rstrip(PUNCTUATION) for w in words]
-        # Letters must stay letters in lower case, else a mark can join the punctuation.
-        plain = [c.isalpha() and c.lower().isalpha() for c in cores]
+        # Letters must stay letters when composed and in lower case, else a mark can join the punctuation.
+        plain = [c.isalpha() and (c.isascii() or normalize("NFC", c).lower().isalpha()) for c in cores]
         mixed = [(w, c) for w, c, good in zip(words, cores, plain, strict=True) if good and len(c) < len(w)]
         letters = list(dict.fromkeys(c for c, good in zip(cores, plain, strict=True) if good and c not in self.place))
         alone = dict.fromkeys(w for w, good in zip(words, plain, strict=True) if not good)
@@ -147,7 +167,7 @@ class WordCoder:
         found = list(self._encoded(iter(others), 2048))
         self._add(order + others, ids + found, [*sizes, np.fromiter(map(len, found), np.int64, len(found))])
         halves = [self.place[part] for w, c in mixed for part in (c, w[len(c) :])]
-        joined, counts = self._gather(np.array(halves, dtype=np.int64))
+        joined, counts = self.gather(np.array(halves, dtype=np.int64))
         self._add([w for w, _ in mixed], [joined], [counts.reshape(-1, 2).sum(axis=1)])
 
     def _encoded(self, texts, at_once: int):
@@ -159,7 +179,7 @@ class WordCoder:
 
 @lru_cache(1)
 def word_coder(path: str) -> WordCoder:
-    """One a worker process; a task forgets the words it has met when it ends."""
+    """One a worker process, whose tasks share the words they have met."""
     return WordCoder(path)
 
 
@@ -175,21 +195,27 @@ def encode(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
         coder = word_coder(vocabulary)
         for whole in batches:
             for batch in slices(whole, "text", 8 << 20):
-                split = pc.ascii_split_whitespace(batch.column("text").fill_null(""))
+                text = batch.column("text").fill_null("")
+                # The marks of special tokens count in lower case only.
+                if coder.lowers and not pc.any(pc.match_substring(text, "<|")).as_py():
+                    text = pc.ascii_lower(text)
+                split = pc.ascii_split_whitespace(pc.replace_substring_regex(text, WORD_END, r"\1 \2\3"))
                 per_doc = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
                 coded = split.flatten().dictionary_encode()
-                vocab, sizes = coder.code(coded.dictionary.to_pylist())
-                word = coded.indices.to_numpy(zero_copy_only=False)
-                per_word = sizes[word]
-                tokens = vocab[_ragged((np.cumsum(sizes) - sizes)[word], per_word)]
-                upto = np.concatenate([[0], np.cumsum(per_word)])[np.concatenate([[0], np.cumsum(per_doc)])]
-                counts = np.diff(upto)
-                tokens = np.insert(tokens, upto[1:], end_id).astype("<u4")
+                places = coder.find(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+                end = coder.add_unit([end_id])
+                # Each document's words and its end, as places of the pool.
+                upto = np.cumsum(per_doc + 1)
+                units = np.full(int(upto[-1]) if len(upto) else 0, end, dtype=np.int64)
+                is_word = np.ones(len(units), dtype=bool)
+                is_word[upto - 1] = False
+                units[is_word] = places[coded.indices.to_numpy(zero_copy_only=False)]
+                tokens, per_unit = coder.gather(units)
+                counts = np.diff(np.cumsum(per_unit)[upto - 1], prepend=0)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(counts + 1), _binary(tokens.view(np.uint8), (counts + 1) * 4)],
+                    [batch.column("doc_id"), pa.array(counts), _binary(tokens.astype("<u4", copy=False).view(np.uint8), counts * 4)],
                     names=["doc_id", "n_tokens", "ids"],
                 )
-        coder.forget()  # idle workers shall hold no words
 
     source = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     return source.mapInArrow(encode_batches, "doc_id bigint, n_tokens bigint, ids binary")
