@@ -46,7 +46,7 @@ PUNCTUATION = ".,;:!?|)]}#*$%&"
 #: Such runs after letters that stay letters in lower case and when composed: cut off by a blank.
 WORD_END = r"([A-Za-zß-öø-ÿ])([.,;:!?|)\]}#*$%&]+)([\x20\x09-\x0D]|$)"
 #: Units a worker remembers, from task to task, before it forgets them all; some 200 bytes each.
-KNOWN_UNITS = 400_000
+KNOWN_UNITS = 250_000
 MANIFEST = "shard int, path string, n_docs bigint, n_tokens bigint, n_bytes bigint"
 
 
