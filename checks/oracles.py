@@ -477,6 +477,14 @@ SELECT job_url, pass_no, status, attempts, array_to_string(ids, ',') AS ids FROM
     "evolve_backfill": with_(JOBS)
     + f"""SELECT id, {company_key('company')} || '|' || {title_key('title')} || '|' || {location_key("coalesce(location, '')")} AS fingerprint,
   job_url AS normalized_url, 0 AS post_attempts, NULL::VARCHAR AS source, 3 AS version FROM jobs""",
+    "read_versions": with_(JOBS)
+    + f"""SELECT id, job_url,
+  CASE id % 3 WHEN 0 THEN {company_key('company')} || '|' || {title_key('title')} || '|'
+    WHEN 1 THEN {company_key('company')} || '|' || {title_key('title')} || '|' || {location_key("coalesce(location, '')")}
+    ELSE 'kept|print|' END AS fingerprint,
+  CASE id % 3 WHEN 2 THEN 'https://kept.example.com/' || id ELSE job_url END AS normalized_url,
+  CASE id % 3 WHEN 2 THEN 3 ELSE 0 END AS post_attempts,
+  CASE id % 3 WHEN 2 THEN source END AS source, CASE WHEN id % 3 > 0 THEN location END AS location FROM jobs""",
     "read_greenhouse": with_(POSTINGS, PLACED) + GREENHOUSE_ROWS.format(seq=packed_seq(3), where="true"),
     "read_lever": with_(POSTINGS, PLACED) + LEVER_ROWS.format(seq=packed_seq(4), where="true"),
     "read_adzuna": with_(POSTINGS, PLACED) + ADZUNA_ROWS.format(seq=packed_seq(0), where="true"),
@@ -509,6 +517,13 @@ UNION ALL SELECT 'different seq', sum(n)::BIGINT FROM landed""",
     + "SELECT * FROM landed UNION ALL SELECT 'lost ' || unnest(['adzuna', 'greenhouse', 'lever']), 1",
     "daily_run_landed": with_(POSTINGS, LANDED)
     + "SELECT 'ok' AS status, sum(n)::BIGINT AS fetched, 0::BIGINT AS errors, true AS consistent FROM landed",
+    "stream_first_within": with_(
+        POSTINGS, KEYED,
+        "dated AS MATERIALIZED (SELECT DISTINCT normalized_url, [1, 2, 9, 10][ord % 4 + 1]::INT AS day FROM keyed)",
+        "early AS (SELECT normalized_url, min(day) AS day FROM dated WHERE day < 10 GROUP BY normalized_url)",
+    )
+    + """SELECT * FROM early
+UNION ALL SELECT * FROM dated WHERE day = 10 AND normalized_url NOT IN (SELECT normalized_url FROM early WHERE day = 9)""",
     "stream_first_seen": with_(POSTINGS, KEYED, FIRST_SEEN_BATCH)
     + "SELECT * FROM s1 UNION ALL SELECT * FROM n2",
     "daily_run": with_(

@@ -12,7 +12,7 @@ from postmill.functions import keys, text
 from postmill.functions.urls import normalize_url
 from postmill.operators import classify, dedupe, delivery, evolve, incremental, ledger, monitor, routing
 from postmill.plans import daily, store, views
-from postmill.schemas import JOBS, POSTING
+from postmill.schemas import JOBS, JOBS_V1, POSTING
 from postmill.session import materialize, new_folder
 from postmill.sources import json_feeds, readme_tables, union
 from postmill.streaming import delivery_state, ingest
@@ -478,6 +478,24 @@ def evolve_backfill(spark, sf):
     return table.select("id", "fingerprint", "normalized_url", "post_attempts", "source", F.lit(version).alias("version"))
 
 
+@query
+def read_versions(spark, sf):
+    """Jobs in part files of versions 1, 2 and 3, in one folder."""
+    folder = new_folder(spark, "versions")
+    jobs = evolve.evolve(views.jobs(spark, sf))
+    known = jobs.withColumns({
+        "fingerprint": F.lit("kept|print|"), "post_attempts": F.lit(3),
+        "normalized_url": F.concat(F.lit("https://kept.example.com/"), F.col("id").cast("string")),
+    })
+    jobs.where("id % 3 = 0").select(*JOBS_V1.names).write.parquet(folder)
+    second = jobs.where("id % 3 = 1").select(*JOBS_V1.names, F.lit("stale|print").alias("fingerprint"), "location")
+    second.write.mode("append").parquet(folder)
+    known.where("id % 3 = 2").select(*JOBS.names).write.mode("append").parquet(folder)
+    return evolve.read_versions(spark, folder).select(
+        "id", "job_url", "fingerprint", "normalized_url", "post_attempts", "source", "location"
+    )
+
+
 @query
 def stored_jobs(spark, sf):
     """Jobs table read back from a store after a retry pass was recorded."""
@@ -581,6 +599,20 @@ def stream_first_seen(spark, sf):
     return spark.read.schema(ingest.SEEN).parquet(table).select("seq", "normalized_url", "fingerprint", "batch")
 
 
+@query
+def stream_first_within(spark, sf):
+    """Postings of four days, each landed and read by itself, without repeats within three days."""
+    landed, table, offsets = (new_folder(spark, name) for name in ("landed", "within", "offsets"))
+    posts = materialize(views.postings(spark, sf), "posts")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in POSTING.fields) + ", ts timestamp"
+    for part, day in enumerate((1, 2, 9, 10)):
+        dated = posts.where(views.order_of() % 4 == part).withColumn("ts", F.expr(f"timestamp'2024-01-{day:02} 12:00:00'"))
+        dated.write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(kinds).parquet(landed)
+        ingest.first_seen_within(stream, "ts", "3 days", table, offsets).awaitTermination()
+    return spark.read.parquet(table).select("normalized_url", F.day("ts").alias("day"))
+
+
 @query
 def stream_payloads(spark, sf):
     """Raw payloads of all kinds that land in three parts, each read by a run of its own; then the second part's batch
