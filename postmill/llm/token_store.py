@@ -188,7 +188,9 @@ def encode(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
 
     The tokenizer must drop white space between words, as the one of
     `word_bpe_49k.json` does: then a text's ids are those of its words, and each
-    distinct word of a batch is encoded once.
+    distinct word that a worker remembers is encoded once. Punctuation after
+    letters is a word of its own, and words are looked up in lower case where
+    the tokenizer doesn't tell case apart.
     """
 
     def encode_batches(batches):
