@@ -1,2 +1,2 @@
 """Column functions. Everything here maps Column to Column and stays in the JVM,
-except `text.unescape`, which is an Arrow UDF."""
+except `text.resolve`, which is an Arrow UDF."""

@@ -7,7 +7,8 @@ import unicodedata
 from functools import lru_cache
 from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -19,6 +20,7 @@ SPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
+TAG = "<[^>]+>"
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 NON_ASCII = r"[^\x00-\x7F]"
 # A word character in the Unicode sense, for Java patterns.
@@ -94,21 +96,39 @@ def fold_ascii(col: Column) -> Column:
     return F.when(ascii_only, col).otherwise(let(one, spell_out))
 
 
-@F.pandas_udf(StringType())
-def unescape(texts: pd.Series) -> pd.Series:
-    """HTML character references -> characters (no such built-in in Spark)."""
-    return texts.map(html.unescape, na_action="ignore")
+def valid_texts(texts: pa.Array) -> pa.Array:
+    """Bytes that are no UTF-8 as replacement characters, which is how the JVM reads them."""
+    try:
+        texts.validate(full=True)
+        return texts
+    except pa.ArrowInvalid:
+        spelled = texts.cast(pa.large_binary()).to_pylist()
+        return pa.array([one if one is None else one.decode(errors="replace") for one in spelled], texts.type)
+
+
+@F.arrow_udf(StringType())
+def resolve(texts: pa.Array) -> pa.Array:
+    """Tags to blanks, HTML character references to characters (no such built-in in Spark), and strip.
+
+    Arrow does all of it for texts whose only references are `&amp;`; a tag never begins or ends inside of one.
+    """
+    plain = pc.replace_substring_regex(valid_texts(texts), TAG, " ")
+    simple = pc.equal(pc.count_substring(plain, "&"), pc.count_substring(plain, "&amp;"))
+    resolved = pc.replace_substring(plain, "&amp;", "&")
+    others = pc.invert(simple)
+    if pc.any(others).as_py():
+        spelled = [html.unescape(text) for text in plain.filter(others).to_pylist()]
+        resolved = pc.replace_with_mask(resolved, pc.fill_null(others, False), pa.array(spelled, plain.type))
+    return pc.utf8_trim(resolved, SPACE)
 
 
 def strip_tags(col: Column) -> Column:
     """Tags become blanks, then character references are resolved, then strip.
 
-    Only text with a `&` travels to Python; the rest is passed as null.
+    Only text with a `&` travels to Python, and comes back done; the rest is passed as null.
     """
-    plain = F.regexp_replace(col, "<[^>]+>", " ")
-    has_reference = col.contains("&")
-    resolved = unescape(F.when(has_reference, plain))
-    return strip(F.when(has_reference, resolved).otherwise(plain))
+    resolved = resolve(F.when(col.contains("&"), col))
+    return F.coalesce(resolved, strip(F.regexp_replace(col, TAG, " ")))
 
 
 # Fixed value: Markdown link pattern.

@@ -200,13 +200,18 @@ def body_of():
     return F.col("supplier") * BODIES + F.floor(order_of() / 500) % BODIES
 
 
-def _packed(rows: DataFrame, slug, item, wrap) -> DataFrame:
-    """Landed JSON bodies of bounded size, items in order of `seq`."""
-    listed = F.array_sort(F.collect_list(F.struct("seq", item.alias("item"))))
+def _packed(rows: DataFrame, slug, item, head: str, tail: str) -> DataFrame:
+    """Landed JSON bodies of bounded size, items in order of `seq`.
+
+    Items become JSON before they are collected, in compiled code, so that rows of one text each are
+    sorted and moved. The number comes first in the key, so that rows sort by it without a look at the slug.
+    """
+    items = rows.select("seq", F.to_json(item).alias("item"), body_of().alias("doc_ord"), slug.alias("slug"))
+    listed = F.sort_array(F.collect_list(F.struct("seq", "item")))
     return (
-        rows.groupBy(slug.alias("slug"), body_of().alias("doc_ord"))
-        .agg(F.transform(listed, lambda i: i["item"]).alias("items"))
-        .select("slug", "doc_ord", F.to_json(wrap("items")).alias("body"))
+        items.groupBy("doc_ord", "slug")
+        .agg(F.array_join(listed["item"], ",").alias("items"))
+        .select("slug", "doc_ord", F.concat(F.lit(head), "items", F.lit(tail)).alias("body"))
     )
 
 
@@ -218,7 +223,7 @@ def greenhouse_raw(posts: DataFrame) -> DataFrame:
         F.struct(F.col("location").alias("name")).alias("location"),
     )
     slug = F.concat(F.lit("s"), F.col("supplier").cast("string"))
-    return _packed(posts, slug, item, lambda c: F.struct(F.col(c).alias("jobs")))
+    return _packed(posts, slug, item, '{"jobs":[', "]}")
 
 
 def lever_raw(posts: DataFrame) -> DataFrame:
@@ -233,7 +238,7 @@ def lever_raw(posts: DataFrame) -> DataFrame:
         ).alias("categories"),
     )
     slug = F.concat(F.lit("s"), F.col("supplier").cast("string"), F.lit("-labs"))
-    return _packed(posts, slug, item, F.col)
+    return _packed(posts, slug, item, "[", "]")
 
 
 def adzuna_raw(posts: DataFrame) -> DataFrame:
@@ -250,7 +255,7 @@ def adzuna_raw(posts: DataFrame) -> DataFrame:
         F.struct(F.col("company").alias("display_name")).alias("company"),
         F.struct(F.lit("United States").alias("display_name"), area.alias("area")).alias("location"),
     )
-    return _packed(posts, F.lit("term"), item, lambda c: F.struct(F.col(c).alias("results")))
+    return _packed(posts, F.lit("term"), item, '{"results":[', "]}")
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

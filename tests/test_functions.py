@@ -6,6 +6,7 @@ import re
 import unicodedata
 from urllib.parse import parse_qsl, urlsplit
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +46,24 @@ def test_strip_tags_equals_html_unescape(spark):
     assert apply(spark, text.strip_tags, values) == expected
 
 
+def test_strip_tags_comes_back_done(spark, monkeypatch):
+    """Texts with references are stripped where these are resolved, and Python spells out no `&amp;`."""
+    values = ["<p>a &amp; b</p>", "&amp;lt; &amp;amp;", "\u2003<i>&amp;\x1f", "&&amp;amp;", "<a href='?x=1&y'>&nbsp;b", "& &ampx", None, "<br> c\xa0", "", "&"]
+    expected = [v if v is None else html.unescape(re.sub(r"<[^>]+>", " ", v)).strip() for v in values]
+    assert apply(spark, text.strip_tags, values) == expected
+    spelled = []
+    monkeypatch.setattr(text.html, "unescape", lambda value: spelled.append(value) or "")
+    text.resolve.func(pa.array(["<p>a &amp; b</p>", None, "&amp;&amp;amp;"]))
+    assert spelled == []
+    text.resolve.func(pa.array(["<p>a &amp; &lt;</p>", None]))
+    assert spelled == [" a &amp; &lt; "]
+
+
+def test_strip_tags_of_bytes_that_are_no_text(spark):
+    df = spark.sql("SELECT cast(unhex('3C623E61FF26616D703B') AS string) AS c")
+    assert [r[0] for r in df.select(text.strip_tags(F.col("c"))).collect()] == ["a\ufffd&"]
+
+
 def test_strip_and_line_ends(spark):
     values = [c + "x y" + c for c in text.SPACE] + ["", " ", "​x"]
     assert apply(spark, text.strip, values) == [v.strip() for v in values]

@@ -1,5 +1,8 @@
 """What payloads cost: lines read per kind, exchanges of whole postings, tries of unreadable files."""
 
+import json
+import re
+
 from pyspark.sql import functions as F
 
 from postmill.plans import views
@@ -67,3 +70,24 @@ def test_no_parquet_is_told_by_footers(spark, monkeypatch):
     lost = union.unreadable(spark, files, union.RAW_JSON)
     assert len(files) == 2 and [path[-4:] for path, _ in lost] == [".txt"]
     assert [n for n, columns in tries if columns] == [1]
+
+
+def test_packing_moves_one_text_per_posting(spark, sf_dir):
+    """Items are JSON before rows are sorted by document and moved; the bodies are those of whole documents."""
+    posts = views.feed(spark, sf_dir, F.col("l_orderkey") < 3000)
+    listed = [{"seq": r.seq, "supplier": r.supplier, "title": r.title} for r in posts.collect()]
+    for raw, field in ((views.greenhouse_raw(posts), "title"), (views.lever_raw(posts), "text")):
+        assert re.search(r"collect_list\(struct\(seq, seq#\w+, item, item#\w+\), 0, 0\)", plan(raw))
+        for r in raw.collect():
+            own = [p["title"] for p in sorted(listed, key=lambda p: p["seq"]) if packed_in(p) == r.doc_ord]
+            body = json.loads(r.body)
+            items = body if field == "text" else body["jobs"]
+            edited = [re.sub("Co-Op|Intern", "Analyst", t) for t in own] if field == "text" else own
+            assert [i[field] for i in items] == edited
+            assert r.slug.removesuffix("-labs") == f"s{r.doc_ord // views.BODIES}"
+            assert r.body == json.dumps(body, ensure_ascii=False, separators=(",", ":"))
+
+
+def packed_in(p):
+    order = p["seq"] >> views.COPY_BITS + views.LINE_BITS
+    return p["supplier"] * views.BODIES + order // 500 % views.BODIES
