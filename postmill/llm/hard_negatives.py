@@ -219,7 +219,9 @@ def _compared(tiles: DataFrame, dim: int, visits: DataFrame, k: int, low: int, h
     asked = visits.groupBy("i", "j", "tile", blocks.alias("block")).agg(
         F.collect_list(F.struct("query", "label", "v", "goals")).alias("queries")
     )
-    met = tiles.join(asked, ["i", "j", "tile"]).select("rows", "queries")
+    # Merged, as all joins that grow with anchors or rows: visits repeat their vectors, so the files
+    # of both sides are a small part of what a broadcast of them would take.
+    met = tiles.hint("merge").join(asked.hint("merge"), ["i", "j", "tile"]).select("rows", "queries")
 
     def rows(batches):
         for whole in batches:
@@ -266,15 +268,15 @@ def search(index: tuple[Cells, DataFrame], queries: DataFrame, k: int, low: int
         found = materialize(every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "found")
         bounds = visits.groupBy("query").agg(F.max("bound").alias("bound")).where(F.col("bound") > -math.inf)
         last = found.where(F.col("rank") == k).select("query", "goal", F.col("score").alias("last"))
-        left = open_ones.join(bounds, "query").withColumn("goal", F.explode_outer("goals"))
-        left = left.alias("l").join(
+        left = open_ones.hint("merge").join(bounds, "query").withColumn("goal", F.explode_outer("goals"))
+        left = left.alias("l").hint("merge").join(
             last.alias("f"), (F.col("l.query") == F.col("f.query")) & F.col("l.goal").eqNullSafe(F.col("f.goal")), "left"
         )
         # A row still unseen could be among the first k, and in the window.
         needed = F.coalesce(F.col("l.bound") >= F.col("f.last"), F.lit(True))
         needed &= F.coalesce(100 * F.col("l.bound") >= low * F.col("l.goal"), F.lit(True))
         still = left.where(needed).select(F.col("l.query").alias("query")).distinct()
-        open_ones = materialize(open_ones.join(still, "query", "left_semi"), "open")
+        open_ones = materialize(open_ones.hint("merge").join(still, "query", "left_semi"), "open")
         start, end = end, end * 4
     return found
 
@@ -300,11 +302,11 @@ def mine(
     # No score lies between 80 and 100 percent of a negative one.
     goals = near.where(F.lit(low) * F.col("goal") <= F.lit(high) * F.col("goal"))
     goals = goals.groupBy("query").agg(F.collect_set("goal").alias("goals"))
-    asked = materialize(queries.drop("goals").join(goals, "query"), "goals")
+    asked = materialize(queries.drop("goals").hint("merge").join(goals, "query"), "goals")
     hard = search(index, asked, negatives, low, high)
     if hard is None:
         return rows.sparkSession.createDataFrame([], columns).drop("query")
-    return near.join(hard, ["query", "goal"]).select(
+    return near.hint("merge").join(hard, ["query", "goal"]).select(
         F.col("query").alias("anchor_id"), "positive_id", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias("negative_id"),
         F.col("goal").alias("positive_score"), F.col("score").alias("negative_score"),
     )

@@ -156,6 +156,18 @@ def test_mine_nothing(spark):
         assert got.count() == 0 and got.columns[0] == "anchor_id"
 
 
+def test_visits_are_not_broadcast(spark):
+    df = hard.integers(spark.createDataFrame(awkward_vectors(), VECTORS)).where("vec_id < 500")
+    rows = hard.materialize(df, "rows")
+    cells, tiles = hard.build_index(rows)
+    none = F.lit(None).cast("array<bigint>")
+    queries = rows.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query"), "label", "v", none.alias("goals"))
+    visits = hard.materialize(hard.visiting(cells, queries, 0, hard.FIRST), "visits")
+    met = hard._compared(tiles, cells.dim, visits, 5, 0, 0)
+    assert met.collect()
+    assert "BroadcastExchange" not in met._jdf.queryExecution().executedPlan().toString()
+
+
 def test_cells_are_bounded(spark):
     """No row of a cell scores above its bound, and all occupied cells come, in descending order."""
     df = hard.integers(spark.createDataFrame(awkward_vectors(), VECTORS)).where("vec_id < 2000")
