@@ -45,6 +45,14 @@ def test_quality(docs, empty):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["kept"]}
 
 
+def test_texts_are_measured_once(docs, monkeypatch):
+    kept = sorted(r["doc_id"] for r in quality.judge(docs).where("kept").collect())
+    calls, measures = [], quality.measures
+    monkeypatch.setattr(quality, "measures", lambda text: calls.append(text) or measures(text))
+    assert sorted(r["doc_id"] for r in quality.keep_good(docs).collect()) == kept
+    assert len(calls) == 1
+
+
 def test_hosts_are_shrunk_and_rejected(spark):
     good = " ".join(f"word{k}" for k in range(60))
     rows = [(k, good, f"host{k % 20}") for k in range(400)]
